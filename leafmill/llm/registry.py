@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "mixing", "sharding", "url_filter", "bpe", "token_counts", "toxicity", "ngram_join")
+MODULES = ("exact_dedup", "mixing", "sharding", "url_filter", "bpe", "token_counts", "toxicity", "ngram_join", "warc")
 
 
 def _gather(name: str) -> dict:
