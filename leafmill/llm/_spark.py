@@ -160,10 +160,11 @@ def drop_matches(rows: DataFrame, on: str, keys: DataFrame, scratch: Scratch) ->
     """Rows of ``rows`` whose ``on`` isn't in ``keys``. Only rows that may match, by a bitmap filter, shuffle."""
     filter_, bits = key_filter(keys, F.col(on), keys.count())
     filter_ = scratch.save(filter_, "filter")
-    flagged = with_membership(rows, F.col(on), filter_, bits, "_maybe")
-    passed = flagged.filter("not _maybe").drop("_maybe")
-    kept = flagged.filter("_maybe").drop("_maybe").join(keys, on, "left_anti")
-    return passed.unionByName(kept)
+    packed = rows.select(F.struct(*(rows[f"`{c}`"] for c in rows.columns)).alias("_row"), rows[on].alias(on))
+    flagged = with_membership(packed, F.col(on), filter_, bits, "_maybe")
+    passed = flagged.filter("not _maybe").select("_row")
+    kept = flagged.filter("_maybe").join(keys, on, "left_anti").select("_row")
+    return passed.unionByName(kept).select("_row.*")
 
 
 def keep_matches(rows: DataFrame, on: str, side: DataFrame, scratch: Scratch) -> DataFrame:

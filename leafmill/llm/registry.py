@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "mixing", "sharding", "url_filter", "bpe", "token_counts", "toxicity", "ngram_join", "warc")
+MODULES = ("ngram_join", "url_filter", "vector_dedup", "exact_dedup", "sharding", "warc", "token_counts", "bpe", "mixing", "toxicity")
 
 
 def _gather(name: str) -> dict:
