@@ -88,10 +88,9 @@ def reader_quotes(c: Column | str) -> Column:
 
 
 def phoneme_text(c: Column | str) -> Column:
-    """Quotes, dashes, ellipses and brackets in plain forms for a phonemiser."""
-    t = F.translate(col(c), "‘’“”…", "''\"\"…")
-    t = F.regexp_replace(F.replace(t, F.lit("…"), F.lit("...")), r"\s*[–—]\s*", ", ")
-    return collapse(F.regexp_replace(t, r"[()\[\]{}]", ", "))
+    """Quotes straight, dashes and brackets as commas, ellipses as stops, white space collapsed."""
+    t = F.translate(col(c), "‘’“”", "''\"\"")
+    return collapse(F.regexp_replace(F.replace(t, F.lit("…"), F.lit("...")), r"[–—()\[\]{}]", ", "))
 
 
 def split_keeping_punctuation(c: Column | str) -> Column:
@@ -104,25 +103,45 @@ def block_text(c: Column | str, listing: bool = False) -> Column:
     return t if listing else tighten(F.regexp_replace(t, r"\n", " "))
 
 
+#: What may follow the stop of a host that a line wrap cut.
+TOP_LEVELS = ("com", "org", "net", "edu", "gov", "io", "ai", "co", "dev", "app")
+_NEXT = r"(?=[\p{L}\p{N}%._~-])"
+_HEAD = r"(?:https?://|www\.)"
+
+
 def repair_urls(c: Column | str) -> Column:
-    """White space that a line wrap left inside a URL is removed."""
-    t = F.regexp_replace(col(c), r"(?i)\b(https?)\s*:\s*/\s*/\s*", "$1://")
-    t = F.regexp_replace(t, r"(?i)\b(https?://[^\s]+[/._-])\s+(?=[a-z0-9])", "$1")
-    return F.regexp_replace(t, r"(?i)\b(www\.)\s+(?=[a-z0-9])", "$1")
+    """White space that a line wrap left inside a URL is removed: after the scheme, at a slash, at a line end, before a top-level domain."""
+    t = F.regexp_replace(col(c), r"(?iu)\b(https?):\s*//\s*(?=[\p{L}\p{N}])", "$1://")
+    t = F.regexp_replace(t, rf"(?iu)({_HEAD}\S+/)\s+(?:/\s*)?{_NEXT}", "$1")
+    t = F.regexp_replace(t, rf"(?iu)({_HEAD}[^\s/]+)\s+/\s*{_NEXT}", "$1/")
+    t = F.regexp_replace(t, rf"(?iu)(https?://\S+[/?#=&-])\s*\n\s*{_NEXT}", "$1")
+    return F.regexp_replace(t, rf"(?iu)(https?://\S+\.)\s+(?=(?:{'|'.join(TOP_LEVELS)})(?:\b|[/#?]))", "$1")
 
 
 def plain_summary(c: Column | str) -> Column:
-    """A generated summary without Markdown links, emphasis, bullets and tags, as one line."""
-    t = F.regexp_replace(col(c), r"\[([^\]]*)\]\([^)]*\)", "$1")
-    t = F.regexp_replace(t, r"\*\*([^*]*)\*\*", "$1")
-    t = F.regexp_replace(t, r"(?m)^\s*[-*•]\s+", "")
-    return collapse(F.regexp_replace(t, r"<[^>]+>", " "))
+    """A generated summary without Markdown links, bold, list marks and source tags, as one line."""
+    t = F.regexp_replace(col(c), r"\[([^\]]+)\]\([^)]+\)", "$1")
+    t = F.regexp_replace(t, r"\*\*([^*]+)\*\*", "$1")
+    t = F.regexp_replace(t, r"(?m)^\s*(?:[-*•]|\d+[.)])\s+", "")
+    return collapse(F.regexp_replace(t, r"</?(?:SOURCE|SOURCE_NOTES)>", ""))
+
+
+#: Phrases of an answer that talks about the task instead of doing it.
+META_PHRASES = (
+    r"i(?:'m| am) ready to summarize",
+    r"ready to provide",
+    r"provided source material",
+    r"i(?:'ve| have) analyzed",
+    r"based on these observations",
+    r"here(?:'s| is) (?:a|the) concise summary:",
+)
+META = r"(?iu)\b(?:" + "|".join(META_PHRASES) + r")(?:\b|(?<=:))"
 
 
 def is_meta_response(c: Column | str) -> Column:
-    """A blank answer, or one that talks about the task."""
+    """An empty answer, or one that talks about the task."""
     t = F.coalesce(col(c), F.lit(""))
-    return (ws_trim(t) == "") | t.rlike(r"(?i)^\s*(?:please provide|i(?:'m| am) (?:ready|unable)|sure[,!]|as an ai|i cannot|i can't)")
+    return (t == "") | t.rlike(META)
 
 
 def summary_prompt(mode: Column | str, text: Column | str) -> Column:

@@ -141,3 +141,11 @@ def test_html():
     assert got[2]["links"] == [{"label": "link", "href": "https://a.org/x"}]
     assert got[6]["rows"] == [{"cells": [{"text": "h", "header": True}]}, {"cells": [{"text": "1", "header": False}]}]
     assert html.passages(None, None) == []
+
+
+def test_summaries_and_urls(value):
+    assert value(tx.plain_summary(F.lit("- **Bold** [a](b)\n2) x <SOURCE>"))) == "Bold a x"
+    assert value(tx.is_meta_response(F.lit("I am ready to summarize it"))) and value(tx.is_meta_response(F.lit("")))
+    assert not value(tx.is_meta_response(F.lit("Cats purr.")))
+    assert value(tx.repair_urls(F.lit("see https: //a.org/ x and https://b. com"))) == "see https://a.org/x and https://b.com"
+    assert value(tx.phoneme_text(F.lit("“a”—b (c)…"))) == '"a", b , c, ...'
