@@ -49,6 +49,13 @@ def fold(doc_id) -> F.Column:
     return F.coalesce((F.crc32(doc_id.cast("string")) % 4).cast("int"), F.lit(-1))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches cut small, so that few texts are Python objects at a time."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
@@ -58,7 +65,7 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.clear()
         return batch
 
-    for batch in batches:
+    for batch in _parts(batches):
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = tokens(text.lower())
             seen.update(zip(repeat(toxic), ["", *words], words))
@@ -141,28 +148,32 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
     # From here on, what comes to the driver is bounded by the sample.
     words = grams.groupBy("w").agg(has(0).alias("n0"), has(1).alias("n1"))
     types = words.agg(has_words(0), has_words(1)).first()
-    words = scratch.save(words.filter("n0 + n1 > 1"), "words")
-    table = words.orderBy("w").toPandas()
-    vocabulary = {w: k + 2 for k, w in enumerate(table["w"])}
+    # The places of words in the saved table tell them apart, so that their pairs are collected as numbers.
+    words = scratch.save(words.filter("n0 + n1 > 1").withColumn("_word", F.monotonically_increasing_id()), "words")
+    table = words.select("w", "n0", "n1", "_word").toArrow().sort_by("_word")
+    place = table["_word"].to_numpy()
+    vocabulary = {w: k + 2 for k, w in enumerate(table["w"].to_pylist())}
     size = len(vocabulary) + 2
+    counts = np.zeros((2, size))
+    counts[0, 2:], counts[1, 2:] = table["n0"].to_numpy(), table["n1"].to_numpy()
+    del table
     shared, everything = corpus_counts(texts, vocabulary)
     backoff = (shared + 0.5) / (everything + 0.5 * size)
-    counts = np.zeros((2, size))
-    counts[0, 2:], counts[1, 2:] = table["n0"], table["n1"]
     total = np.array([totals.t0, totals.t1], float)
     kinds = np.array([types[0], types[1]], float)
     uni = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * kinds[:, None] * backoff) / total[:, None]
-    after = words.select(F.col("w").alias("v")).unionByName(grams.sparkSession.createDataFrame([("",)], "v string"))
-    contexts = grams.groupBy("v").agg(F.sum("c0").alias("m0"), F.sum("c1").alias("m1")).join(after, "v", "left_semi").toPandas()
-    often = grams.filter("c0 + c1 > 1").join(words.select("w"), "w", "left_semi").join(after, "v", "left_semi").select("v", "w", "c0", "c1").toPandas()
-    place = {**vocabulary, "": 1}
+    start = grams.sparkSession.createDataFrame([("", -1)], "v string, _before bigint")
+    after = words.select(F.col("w").alias("v"), F.col("_word").alias("_before")).unionByName(start)
+    numbers = lambda ids: np.where(ids < 0, 1, np.searchsorted(place, ids) + 2)
+    contexts = grams.groupBy("v").agg(F.sum("c0").alias("m0"), F.sum("c1").alias("m1")).join(after, "v").select("_before", "m0", "m1").toArrow()
     mass = np.ones((2, size))
-    at = contexts["v"].map(place).to_numpy(np.int64)
-    mass[0, at], mass[1, at] = np.maximum(contexts["m0"], 1), np.maximum(contexts["m1"], 1)
-    v, w = often["v"].map(place).to_numpy(np.int64), often["w"].map(place).to_numpy(np.int64)
+    at = numbers(contexts["_before"].to_numpy())
+    mass[0, at], mass[1, at] = np.maximum(contexts["m0"].to_numpy(), 1), np.maximum(contexts["m1"].to_numpy(), 1)
+    often = grams.filter("c0 + c1 > 1").join(words.select("w", "_word"), "w").join(after, "v").select("_before", "_word", "c0", "c1").toArrow()
+    v, w = numbers(often["_before"].to_numpy()), numbers(often["_word"].to_numpy())
     order = np.argsort(v * size + w)
     v, w = v[order], w[order]
-    seen = np.maximum(often[["c0", "c1"]].to_numpy(float)[order].T - DISCOUNT, 0) / mass[:, v]
+    seen = np.maximum(np.array([often["c0"].to_numpy()[order], often["c1"].to_numpy()[order]], float) - DISCOUNT, 0) / mass[:, v]
     rest = np.ones((2, size))
     for k in (0, 1):
         rest[k] -= np.bincount(v, seen[k], size)
@@ -199,7 +210,7 @@ def corpus_counts(texts: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, size = shared.value.get, len(shared.value) + 2
         counts, total, held, run_length = np.zeros(size, np.int64), 0, [], 0
-        for b in batches:
+        for b in _parts(batches):
             for text in b.column(0).to_pylist():
                 words = tokens(text.lower())
                 held.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
@@ -230,7 +241,7 @@ def score(docs: DataFrame, model: Model | Constant, text_col: str = "text", name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in _parts(batches):
             texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(m.scores(texts), pa.float64())], names=[*kept, name])
 
