@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import col
 
+#: Fixed value: hosts of the video site's pages.
 VIDEO_HOST = r"(?i)^(?:www\.|m\.)?youtube\.com$"
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of a chunk, the least window, and how far back a chunk may break.
 CHUNK, LEAST, BREAK = 1200, 200, 0.6
 _space = re.compile(r"\s").match
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse
 
+#: The sites whose saved pages name speakers, and the names.
 SITES = r"(?i)^(?:ChatGPT|Claude|Gemini|Grok)$"
 SPEAKER = r"(?i)^(you|user|assistant|chatgpt|claude|gemini|grok)(?:\s+said)?$"
 

@@ -24,7 +24,7 @@ def structured_rows(text: Column) -> Column:
     return (F.size(lines) >= 5) & (rows >= 3) & (rows >= 0.3 * F.size(lines)) & uneven
 
 
-#: How a URL may be cut between two texts: the end of the first and the start of the second.
+#: How a URL may be cut between two texts: the end of the first and the start of the second.
 CUTS = (
     (r"https?:$", r"^//[\p{L}\p{N}]"),
     (r"https?://$", r"^[\p{L}\p{N}]"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import cosine
 from ..functions.text import query_terms, tokens
 
+#: Hits of a search, least cosine, boosts. K1 and B are this engine's own.
 K1, B, LIMIT, SIMILARITY = 1.2, 0.75, 100, 0.18
 BOOSTS = {"title": 3.0, "url": 2.0, "content": 1.0}
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SENTENCE, col, collapse
 
-#: The five named entities that captions use.
+#: Caption elements, chapter lines, a paragraph's length, and the five named entities that captions use.
+CAPTION = r"(?is)<(?:text|p)\b[^>]*>.*?</(?:text|p)>"
+CHAPTER = r"^\s*(?:[•*-]\s*)?((?:\d{1,2}:)?\d{1,2}:\d{2})\s*(?:[-–—:]\s*)?(.+)$"
+PARAGRAPH = 700
 NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
 
@@ -38,8 +41,7 @@ def attribute(source: Column, name: str) -> Column:
 
 def caption_chunks(xml: DataFrame, id_col: str = "video_id", xml_col: str = "xml") -> DataFrame:
     """One row per caption: id, seq, text, start_ms, duration_ms; tags and [bracketed] parts dropped, blanks skipped."""
-    pattern = r"(?is)<(?:text|p)\b[^>]*>.*?</(?:text|p)>"
-    rows = xml.select(id_col, F.posexplode(F.regexp_extract_all(F.col(xml_col), F.lit(pattern), F.lit(0))).alias("seq", "_c"))
+    rows = xml.select(id_col, F.posexplode(F.regexp_extract_all(F.col(xml_col), F.lit(CAPTION), F.lit(0))).alias("seq", "_c"))
     head, body = F.regexp_extract("_c", r"(?is)^<(?:text|p)\b([^>]*)>", 1), F.regexp_extract("_c", r"(?is)^<[^>]*>(.*)</[^>]*>$", 1)
     modern = F.lower(F.substring("_c", 2, 2)).rlike("^p")
     number = lambda new, old: F.coalesce(F.when(modern, attribute(head, new).try_cast("double")).otherwise(attribute(head, old).try_cast("double") * 1000), F.lit(0.0))
@@ -50,8 +52,7 @@ def caption_chunks(xml: DataFrame, id_col: str = "video_id", xml_col: str = "xml
 def description_chapters(videos: DataFrame, id_col: str = "video_id", text_col: str = "description", seconds_col: str = "duration") -> DataFrame:
     """Chapters from lines that lead with a time, up to five seconds beyond the end; at least two a video."""
     line = F.explode(F.split(F.col(text_col), "\n"))
-    pattern = r"^\s*(?:[•*-]\s*)?((?:\d{1,2}:)?\d{1,2}:\d{2})\s*(?:[-–—:]\s*)?(.+)$"
-    found = videos.select(id_col, seconds_col, line.alias("_l")).select(id_col, seconds_col, F.regexp_extract("_l", pattern, 1).alias("_t"), F.trim(F.regexp_extract("_l", pattern, 2)).alias("text")).filter("_t != ''")
+    found = videos.select(id_col, seconds_col, line.alias("_l")).select(id_col, seconds_col, F.regexp_extract("_l", CHAPTER, 1).alias("_t"), F.trim(F.regexp_extract("_l", CHAPTER, 2)).alias("text")).filter("_t != ''")
     seconds = F.aggregate(F.split("_t", ":"), F.lit(0).cast("bigint"), lambda s, p: s * 60 + p.cast("bigint"))
     found = found.withColumn("_s", seconds).filter(F.col("_s") <= F.col(seconds_col) + 5)
     enough = found.groupBy(id_col).agg(F.count("*").alias("_n")).filter("_n >= 2").select(id_col)
@@ -73,7 +74,7 @@ def split_sentences(text: str) -> list[str]:
     return [s for p in _sentence(text) if (s := p.strip())] or [text]
 
 
-def paragraphs(text: str, limit: int = 700) -> list[str]:
+def paragraphs(text: str, limit: int = PARAGRAPH) -> list[str]:
     """Speaker turns (">>" before an upper-case letter) as paragraphs of whole sentences, later turns led by a dash."""
     parts, last = [], 0
     for m in _SPEAKER.finditer(text):
