@@ -7,7 +7,7 @@ query term never leave the scan, so what shuffles follows the matches, not the c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cosine
@@ -53,9 +53,10 @@ def top_hits(scored: DataFrame, key: list[str], limit: int = LIMIT) -> DataFrame
 
 
 def best_per_document(hits: DataFrame, doc: str = "doc_id", idx: str = "idx") -> DataFrame:
-    """The best hit of each document, the first of equals."""
-    w = Window.partitionBy(doc).orderBy(F.round("score", 9).desc(), idx)
-    return hits.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    """The best hit of each document, the first of equals; combined in each task before the exchange."""
+    rest = [c for c in hits.columns if c != doc]
+    best = F.min_by(F.struct(*rest), F.struct((-F.round("score", 9)).alias("s"), F.col(idx).alias("i")))
+    return hits.groupBy(doc).agg(best.alias("_best")).select(doc, "_best.*")
 
 
 def vector_scores(chunks: DataFrame, query: list[float], key: list[str], vector: str = "vector", least: float = SIMILARITY) -> DataFrame:

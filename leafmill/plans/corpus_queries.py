@@ -298,7 +298,8 @@ def markdown_conversations(spark, sf_dir):
     return body.select("conv_id", F.md5(text).alias("markdown_md5"))
 
 
-SECONDS = "epoch(ts) * 1000"
+#: Milliseconds that one window of the as-of joins sees.
+HOUR = 3_600_000
 
 
 @query("""
@@ -311,7 +312,7 @@ def asof_timeline(spark, sf_dir):
     """Each third event is a sentence's start on its user's timeline; the others are clock readings (tolerance 120 ms)."""
     e = read(spark, sf_dir, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0).alias("ms"))
     line = e.filter("event_id % 3 = 0").groupBy("user_id", "ms").agg(F.max("event_id").alias("event_id"))
-    return tl.as_of(e.filter("event_id % 3 <> 0"), line, "user_id", "ms", F.col("event_id"), 120).select("event_id", "matched")
+    return tl.as_of(e.filter("event_id % 3 <> 0"), line, "user_id", "ms", F.col("event_id"), 120, span=HOUR).select("event_id", "matched")
 
 
 @query("""
@@ -322,7 +323,7 @@ SELECT c.event_id, t.event_id AS matched FROM (SELECT * FROM e WHERE event_id %
 def asof_next(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0).alias("ms"))
     line = e.filter("event_id % 3 = 0").groupBy("user_id", "ms").agg(F.max("event_id").alias("event_id"))
-    return tl.as_of(e.filter("event_id % 3 <> 0"), line, "user_id", "ms", F.col("event_id"), forward=True).select("event_id", "matched")
+    return tl.as_of(e.filter("event_id % 3 <> 0"), line, "user_id", "ms", F.col("event_id"), forward=True, span=HOUR).select("event_id", "matched")
 
 
 @query("""

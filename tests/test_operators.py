@@ -35,6 +35,20 @@ def test_as_of(spark):
     assert ahead == {("v", 900.0): 1000, ("v", 870.0): 1000, ("v", -500.0): 0, ("x", 5.0): None}
 
 
+def test_as_of_in_spans(spark):
+    import random
+
+    r = random.Random(4)
+    line = [(f"k{r.randrange(3)}", float(t), t) for t in r.sample(range(10000), 60)]
+    clock = [(f"k{r.randrange(4)}", float(r.randrange(-500, 11000))) for _ in range(200)]
+    a, b = spark.createDataFrame(line, "k string, t double, s int"), spark.createDataFrame(clock, "k string, t double")
+    for forward in (False, True):
+        want = sorted((k, t, str((min if forward else max)((s for x, u, s in line if x == k and (u >= t if forward else u <= t)), default=None))) for k, t in clock)
+        for span in (None, 100.0, 3000.0):
+            got = timeline.as_of(b, a, "k", "t", F.col("s"), forward=forward, span=span).collect()
+            assert sorted((x.k, x.t, str(x.matched)) for x in got) == want
+
+
 def test_rejected_spans_block_too(spark):
     spans = spark.createDataFrame([("d", 0, 10), ("d", 5, 20), ("d", 15, 18)], "k string, a int, b int")
     assert [(r.a, r.b) for r in timeline.keep_outer(spans, "k", "a", "b").collect()] == [(0, 10)]
