@@ -18,6 +18,9 @@ BROADCAST_ROWS = 100_000
 #: A key is heavy when it holds at least one in HEAVY_SHARE rows; so there are at most HEAVY_SHARE heavy keys.
 HEAVY_SHARE = 1000
 
+#: Rows of texts in an Arrow batch, on either side of a Python worker.
+TEXT_ROWS = 500
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -43,6 +46,15 @@ def _remove_own_dirs() -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to TEXT_ROWS: a row is a whole text, and a batch stands in memory on
+    both sides of each worker. A setting that is lower already stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/leafmill-{tag}-{uuid.uuid4().hex}"
 

@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ._spark import small_batches
+
 #: Words and space-separated chunks kept by a worker, and characters and words laid out at once.
 CACHE_WORDS, CACHE_CHUNKS, BATCH_CHARS, BATCH_WORDS = 300_000, 400_000, 2_000_000, 40_000
 #: str.split takes these for white space, the tokenizer doesn't.
@@ -232,6 +234,7 @@ def in_batches(texts: list[str | None], chars: int = BATCH_CHARS) -> Iterator[tu
 
 def encode(df: DataFrame, tokenizer: bytes, outputs: tuple[str, ...] = ("ids",), text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Add ``outputs`` (names of OUTPUTS) for each row's text; ``keep`` names the columns that stay, all by default."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
     kept = [c for c in (df.columns if keep is None else keep) if c not in outputs]
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(o, OUTPUTS[o][0]) for o in outputs)])

@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._graph import connected_components
-from ._spark import Scratch, drop_matches, join_groups, keep_matches
+from ._spark import Scratch, drop_matches, join_groups, keep_matches, small_batches
 
 N, BANDS, ROWS = 5, 32, 7
 #: The threshold as a fraction, so that it is compared in whole numbers.
 SIMILAR = (4, 5)
 #: Classes of a tile; n-grams hashed at once; columns of an incidence block; words a worker keeps.
-TILE, SLAB, BLOCK, CACHE_WORDS = 256, 512, 4096, 1_000_000
+TILE, SLAB, BLOCK, CACHE_WORDS = 256, 512, 4096, 200_000
 
 words_of = re.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -196,6 +196,7 @@ def join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
     class_id: smallest id reachable over links of similarity >= 0.8; exact_id and exact_size: the
     same for equal word sequences; n_links: other documents linked directly, copies included.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     signed = scratch.save(texts.mapInArrow(_sign, T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_class", T.StringType()), T.StructField("_bands", T.ArrayType(T.LongType()))])), "signed")
     classes = signed.filter("_class is not null").groupBy("_class").agg(F.min("_id").alias("_rep"), F.count("*").alias("_members"), F.first("_bands").alias("_bands"))

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ._spark import small_batches
+
 #: Pre-tokens of a leaf; characters before an edit on which a pre-token may depend; counts kept by a worker.
 LEAF, CONTEXT, CACHE_PIECES = 64, 4, 400_000
 
@@ -161,6 +163,7 @@ def count_with_edits(df: DataFrame, vocabulary: bytes, pattern: str, edits_col:
     text gets ``routine_edits``. With ``trees`` the edited text and its tree's leaves are added:
     edited, leaf_chars and leaf_tokens.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     added = [("n_tokens", T.LongType(), pa.int64()), ("n_edited_tokens", T.LongType(), pa.int64()), ("n_reencoded", T.LongType(), pa.int64())]
     if trees:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import Scratch
+from ._spark import Scratch, small_batches
 
 #: Bounds of the labelled samples.
 MAX_TOXIC, MAX_ORDINARY, MAX_FIT = 3000, 6000, 6000
@@ -132,6 +132,7 @@ def _sample(labels: DataFrame, docs: DataFrame, condition: str, most: int) -> Da
 
 
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | Constant:
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).filter("_id is not null and toxic is not null").groupBy("_id").agg(F.max("toxic").alias("toxic")).withColumn("_fold", fold(F.col("_id")))
     known = scratch.save(known.filter(F.col("_fold") != HELD_OUT), "labels")
@@ -235,6 +236,7 @@ def corpus_counts(texts: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndar
 
 def score(docs: DataFrame, model: Model | Constant, text_col: str = "text", name: str = "score", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Add the score of each row's text; ``keep`` names the columns that stay, all by default."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in (docs.columns if keep is None else keep) if c != name]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.DoubleType())])
