@@ -3,8 +3,9 @@
 Within a source, documents stand in order of size and id; each expects target / source size
 copies. The prefix sums of these expectations plus one random offset a source cross integers, and
 a document is emitted once for each integer that its own step crosses. Ordering by size makes the
-sample's words follow the target closely, and prefix sums come from global row numbers, so no
-source, however large, is gathered in one task.
+sample's words follow the target closely; of OFFSETS random offsets each source takes the one whose
+words come nearest to its target, which matters where a few long documents hold many of the words.
+Prefix sums come from global row numbers, so no source, however large, is gathered in one task.
 
 Defined cases: a null or empty text has size 0; null sources form one source, last in order; a
 source without words keeps each document once (its rate is 1); rows repeated in id are separate
@@ -25,6 +26,8 @@ WEIGHTS = (1, 2, 3)
 #: A target is at most so many times its source's size.
 MOST = 3
 SEED = "leafmill-mix-1"
+#: Random offsets drawn for a source, of which one is taken.
+OFFSETS = 16
 
 
 def words(text: Column) -> Column:
@@ -53,9 +56,9 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     return t.withColumn("target", target).select("_source", "docs", "source_size", "target", "first")
 
 
-def offset(source: Column, seed: str = SEED) -> Column:
-    """The source's random offset in [0, 1)."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)))), 1, 8), 16, 10).cast("double") / 4294967296.0
+def offset(key: Column, k: int, seed: str = SEED) -> Column:
+    """The k-th random offset in [0, 1) of a source."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/{k}/"), key)), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
 def copies(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
@@ -67,10 +70,13 @@ def copies(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     key = F.coalesce(F.concat(F.lit("+"), "_source"), F.lit("-"))
     met = join_small(placed.withColumn("_key", key), targets.withColumn("_key", key).drop("_source"), "_key", "inner")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    i = (F.col("row_number") - F.col("first")).cast("double")
-    u = offset(F.col("_source"), seed)
-    n = F.floor((i + 1.0) * rate + u) - F.floor(i * rate + u)
-    return met.withColumn("copies", F.least(n, F.lit(MOST)).cast("bigint")).select("_id", "_source", "_uid", "size", "source_size", "target", "copies")
+    met = met.withColumn("_rate", rate).withColumn("_i", (F.col("row_number") - F.col("first")).cast("double"))
+    crossed = lambda u: F.least(F.floor((F.col("_i") + 1.0) * F.col("_rate") + u) - F.floor(F.col("_i") * F.col("_rate") + u), F.lit(MOST)).cast("bigint")
+    tried = met.groupBy("_key").agg(F.first("target").alias("target"), *(F.sum(crossed(offset(F.col("_key"), k, seed)) * F.col("size")).alias(f"_{k}") for k in range(OFFSETS)))
+    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"_{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), offset(F.col("_key"), k, seed).alias("u")) for k in range(OFFSETS))))
+    chosen = scratch.save(tried.select("_key", nearest["u"].alias("_u")), "offsets")
+    met = join_small(met, chosen, "_key", "inner")
+    return met.withColumn("copies", crossed(F.col("_u"))).select("_id", "_source", "_uid", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
@@ -115,10 +121,12 @@ l AS (SELECT arg_min(share, source_size / w) AS share FROM r WHERE share * w <=
 t AS (SELECT s.source, source_size, least(coalesce((SELECT share FROM l) * w, 'inf'::DOUBLE), 3 * source_size::DOUBLE) AS target FROM s),
 n AS (SELECT d.doc_id, d.source, d.size, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS LAST) - 1.0::DOUBLE AS i FROM d),
 x AS (
-  SELECT n.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 1.0::DOUBLE END AS rate,
-         CAST('0x' || substr(md5('leafmill-mix-1' || coalesce('+' || n.source, '-')), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u
+  SELECT n.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 1.0::DOUBLE END AS rate
   FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, CAST(least(floor((i + 1.0::DOUBLE) * rate + u) - floor(i * rate + u), 3) AS BIGINT) AS copies FROM x)
+o AS (SELECT source, k, CAST('0x' || substr(md5('leafmill-mix-1/' || CAST(k AS VARCHAR) || '/' || coalesce('+' || source, '-')), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u FROM t, range(16) r(k)),
+y AS (SELECT x.*, o.k, CAST(least(floor((i + 1.0::DOUBLE) * rate + u) - floor(i * rate + u), 3) AS BIGINT) AS copies FROM x JOIN o ON x.source IS NOT DISTINCT FROM o.source),
+b AS (SELECT source, k FROM (SELECT source, k, abs(CAST(sum(copies * size) AS BIGINT) - min(target)) AS off FROM y GROUP BY source, k) QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1),
+c AS (SELECT y.* FROM y JOIN b ON y.source IS NOT DISTINCT FROM b.source AND y.k = b.k)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """
 
