@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ._spark import small_batches
+from ._spark import small_batches, tidy
 
 #: Words and space-separated chunks kept by a worker, and characters and words laid out at once.
 CACHE_WORDS, CACHE_CHUNKS, BATCH_CHARS, BATCH_WORDS = 300_000, 400_000, 2_000_000, 40_000
@@ -250,6 +250,7 @@ def encode(df: DataFrame, tokenizer: bytes, outputs: tuple[str, ...] = ("ids",),
                 for o in outputs:
                     columns.append(_ids_column(ids) if o == "ids" else pa.array([OUTPUTS[o][2](model, x) for x in ids], OUTPUTS[o][1]))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *outputs])
+        tidy(model.cache, model.chunks)
 
     return df.select(*dict.fromkeys([*kept, text_col])).mapInArrow(run, schema)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._graph import connected_components
-from ._spark import Scratch, drop_matches, join_groups, keep_matches, small_batches
+from ._spark import Scratch, drop_matches, join_groups, keep_matches, small_batches, tidy
 
 N, BANDS, ROWS = 5, 32, 7
 #: The threshold as a fraction, so that it is compared in whole numbers.
@@ -107,6 +107,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 classes.append(_class_of(words) if words else None)
                 sets.append(bands(ngrams(words)) if words else None)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(classes, pa.string()), pa.array(sets, pa.list_(pa.int64()))], names=["_id", "_class", "_bands"])
+    tidy(_hashes)
 
 
 def links_within(sets: list[np.ndarray], left: list[int], right: list[int], same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -188,6 +189,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if rows:
         close()
     yield flush()
+    tidy(_hashes)
 
 
 def join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import Scratch, small_batches
+from ._spark import Scratch, small_batches, tidy
 
 #: Bounds of the labelled samples.
 MAX_TOXIC, MAX_ORDINARY, MAX_FIT = 3000, 6000, 6000
@@ -246,6 +246,7 @@ def score(docs: DataFrame, model: Model | Constant, text_col: str = "text", name
         for b in _parts(batches):
             texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(m.scores(texts), pa.float64())], names=[*kept, name])
+        tidy()
 
     return docs.select(*dict.fromkeys([*kept, text_col])).mapInArrow(run, schema)
 
