@@ -2,11 +2,13 @@
 
 1. Equal vectors form a class; a class's vector stands for its copies.
 2. Centroids are fitted on a bounded sample (the SAMPLE classes least by hash); every class goes to
-   the shards of its OVERLAP nearest centroids. A shard of more than SHARD_MOST classes is dealt to
-   parts, and its classes then also visit the other parts as queries only.
+   the shards of its nearest centroids. How many, OVERLAP at least, is measured: it rises until
+   MEET of the pairs of cosine SIMILAR, made from PROBES further classes, share a shard, so it
+   grows with the number of centroids. A shard of more than SHARD_MOST classes is dealt to parts,
+   and its classes then also visit the other parts as queries only.
 3. In each part a flat graph is built: candidates are the nearest classes and a few others, pruned
    robustly (a candidate nearer to a kept neighbour than to the node, by the factor ALPHA, goes).
-   The adjacency lists of a class's shards are united.
+   The adjacency lists of a class's shards are united; a part's search uses the edges that stay in it.
 4. In each part every class searches: greedily from the medoid, then, from what was found and the
    class's own node, the range expands over all nodes of cosine >= RANGE. Links are verified in
    double precision at >= SIMILAR. A pair that meets in several shards counts in the least of them.
@@ -39,6 +41,8 @@ from ._spark import Scratch, join_groups
 SIMILAR, RANGE = 0.9, 0.85
 #: Bounds: classes the centroids are fitted on, centroids, classes aimed at and allowed in a part, audited classes.
 SAMPLE, MOST_CENTROIDS, SHARD_AIM, SHARD_MOST, AUDIT = 8192, 1024, 1500, 3000, 64
+#: Classes that the overlap is measured with, and the share of pairs at the threshold that must share a shard.
+PROBES, MEET = 2048, 0.995
 OVERLAP, DEGREE, CANDIDATES, FAR_CANDIDATES, ALPHA, BEAM = 3, 24, 48, 12, 1.2, 8
 
 
@@ -75,6 +79,32 @@ def fit_centroids(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def nearest(x: np.ndarray, c: np.ndarray, m: int) -> np.ndarray:
+    """The m centroids nearest to each row, nearest first."""
+    s = -(x @ c.T)
+    own = np.argpartition(s, m - 1, axis=1)[:, :m]
+    return np.take_along_axis(own, np.argsort(np.take_along_axis(s, own, 1), axis=1, kind="stable"), 1)
+
+
+def fit_shards(x: np.ndarray, share: float) -> tuple[np.ndarray, int]:
+    """Centroids for about ``share`` classes, and to how many of them a class goes."""
+    probes = x[-PROBES:]
+    away = np.random.default_rng(0).standard_normal(probes.shape)
+    away -= np.einsum("ij,ij->i", away, probes)[:, None] * probes
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    pairs = SIMILAR * probes + np.sqrt(1 - SIMILAR**2) * np.where(length > 1e-9, away / np.maximum(length, 1e-9), probes)
+    fitted, overlap = x[:SAMPLE], OVERLAP
+    while True:
+        k = max(1, min(MOST_CENTROIDS, len(fitted) // 4, round(share * overlap / SHARD_AIM)))
+        c = fit_centroids(fitted, k)
+        if k <= overlap:
+            return c, overlap
+        a, b = nearest(probes, c, overlap), nearest(pairs, c, overlap)
+        if (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean() >= MEET:
+            return c, overlap
+        overlap += 1 + overlap // 8
+
+
 def robust_prune(near: np.ndarray, dist: np.ndarray, between: np.ndarray) -> np.ndarray:
     """The kept of the candidates ``near``, which come in ascending ``dist``; ``between`` holds their own distances."""
     live, kept = np.ones(len(near), bool), []
@@ -213,28 +243,21 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id"
     classes = rows.filter("_key is not null").groupBy("_key").agg(F.min("_id").alias("_rep"), F.count("*").alias("_members"), F.first("_vector").alias("_vector"))
     classes = scratch.save(classes.withColumn("_node", F.monotonically_increasing_id()), "classes")
     n = classes.count()
-    sample = classes.select("_key", "_vector").orderBy("_key").limit(SAMPLE).collect()
+    sample = classes.select("_key", "_vector").orderBy("_key").limit(SAMPLE + PROBES).collect()
     centroids = {}
     for d in sorted({len(r[1]) for r in sample}):
         x = unit([r[1] for r in sample if len(r[1]) == d])
-        share = n * len(x) / len(sample)
-        centroids[d] = fit_centroids(x, max(1, min(MOST_CENTROIDS, len(x) // 4, round(share * OVERLAP / SHARD_AIM))))
+        centroids[d] = fit_shards(x, n * len(x) / len(sample))
     shared = spark.sparkContext.broadcast(centroids)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for v in b.column(2).to_pylist():
-                c = shared.value.get(len(v))
-                if c is None or len(c) == 1:
-                    own = [0]
-                else:
-                    s = c @ unit([v])[0]
-                    m = min(OVERLAP, len(c))
-                    own = np.argpartition(-s, m - 1)[:m]
-                    own = own[np.argsort(-s[own], kind="stable")].tolist()
+                c, overlap = shared.value.get(len(v), (None, OVERLAP))
+                own = [0] if c is None or len(c) == 1 else nearest(unit([v]), c, min(overlap, len(c)))[0].tolist()
                 ids = [len(v) * MOST_CENTROIDS + k for k in own]
-                out.append(ids + [ids[0]] * (OVERLAP - len(ids)))
+                out.append(ids + [ids[0]] * (overlap - len(ids)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.list_(pa.int64()))], names=["_node", "_members", "_vector", "_shards"])
 
     placed = scratch.save(classes.select("_node", "_members", "_vector").mapInArrow(assign, "_node bigint, _members bigint, _vector array<double>, _shards array<bigint>"), "assigned")
