@@ -8,6 +8,10 @@ mean over ten consecutive words, and the mean weight of words at which the model
 logistic function fitted on labelled documents that the models haven't seen turns them into a
 score.
 
+Every word and pair of the samples is kept. Words are counted over the whole corpus in a table, of
+which the models hold the rows of the samples' words; the backoff of any other word is the same in
+both models and so leaves their ratio alone.
+
 The models are fitted on at most MAX_TOXIC and MAX_ORDINARY labelled documents and the logistic
 function on at most MAX_FIT, taken in order of a hash of the id; equal texts count once. Corpus
 counts and scores cover every document and whole texts.
@@ -150,16 +154,19 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
     words = grams.groupBy("w").agg(has(0).alias("n0"), has(1).alias("n1"))
     types = words.agg(has_words(0), has_words(1)).first()
     # The places of words in the saved table tell them apart, so that their pairs are collected as numbers.
-    words = scratch.save(words.filter("n0 + n1 > 1").withColumn("_word", F.monotonically_increasing_id()), "words")
-    table = words.select("w", "n0", "n1", "_word").toArrow().sort_by("_word")
+    corpus = scratch.save(corpus_counts(texts), "corpus-words")
+    whole = corpus.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).first()
+    words = scratch.save(words.join(corpus, "w").withColumn("_word", F.monotonically_increasing_id()), "words")
+    table = words.select("w", "n0", "n1", "n", "_word").toArrow().sort_by("_word")
     place = table["_word"].to_numpy()
     vocabulary = {w: k + 2 for k, w in enumerate(table["w"].to_pylist())}
     size = len(vocabulary) + 2
     counts = np.zeros((2, size))
     counts[0, 2:], counts[1, 2:] = table["n0"].to_numpy(), table["n1"].to_numpy()
+    shared = np.zeros(size)
+    shared[2:] = table["n"].to_numpy()
     del table
-    shared, everything = corpus_counts(texts, vocabulary)
-    backoff = (shared + 0.5) / (everything + 0.5 * size)
+    backoff = (shared + 0.5) / (whole.n + 0.5 * (whole.kinds + 1))
     total = np.array([totals.t0, totals.t1], float)
     kinds = np.array([types[0], types[1]], float)
     uni = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * kinds[:, None] * backoff) / total[:, None]
@@ -170,11 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
     mass = np.ones((2, size))
     at = numbers(contexts["_before"].to_numpy())
     mass[0, at], mass[1, at] = np.maximum(contexts["m0"].to_numpy(), 1), np.maximum(contexts["m1"].to_numpy(), 1)
-    often = grams.filter("c0 + c1 > 1").join(words.select("w", "_word"), "w").join(after, "v").select("_before", "_word", "c0", "c1").toArrow()
-    v, w = numbers(often["_before"].to_numpy()), numbers(often["_word"].to_numpy())
+    pairs = grams.join(words.select("w", "_word"), "w").join(after, "v").select("_before", "_word", "c0", "c1").toArrow()
+    v, w = numbers(pairs["_before"].to_numpy()), numbers(pairs["_word"].to_numpy())
     order = np.argsort(v * size + w)
     v, w = v[order], w[order]
-    seen = np.maximum(np.array([often["c0"].to_numpy()[order], often["c1"].to_numpy()[order]], float) - DISCOUNT, 0) / mass[:, v]
+    seen = np.maximum(np.array([pairs["c0"].to_numpy()[order], pairs["c1"].to_numpy()[order]], float) - DISCOUNT, 0) / mass[:, v]
     rest = np.ones((2, size))
     for k in (0, 1):
         rest[k] -= np.bincount(v, seen[k], size)
@@ -204,34 +211,27 @@ def has_words(k: int) -> F.Column:
     return F.count(F.when(F.col(f"n{k}") > 0, 1))
 
 
-def corpus_counts(texts: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Occurrences of each vocabulary word in the whole corpus, and of all words. Each task counts what it reads."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter = Counter()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, size = shared.value.get, len(shared.value) + 2
-        counts, total, held, run_length = np.zeros(size, np.int64), 0, [], 0
-        for b in _parts(batches):
-            for text in b.column(0).to_pylist():
-                words = tokens(text.lower())
-                held.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
-                run_length += len(words)
-                if run_length >= FLUSH:
-                    counts += np.bincount(np.concatenate(held), minlength=size)
-                    total, held, run_length = total + run_length, [], 0
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=size)
-            total += run_length
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(counts[at], total), pa.int64())], names=["word", "n"])
-
-    rows = texts.select("_text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(vocabulary) + 2)
-    inside = rows[rows["word"] >= 0]
-    out[inside["word"].to_numpy(np.int64)] = inside["n"].to_numpy(float)
-    out[0] = 0  # other words: each is taken for as rare as one never met
-    shared.destroy()
-    return out, int(rows.loc[rows["word"] == -1, "n"].sum())
+    def out() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
+        seen.clear()
+        return batch
+
+    for batch in _parts(batches):
+        for text in batch.column(0).to_pylist():
+            seen.update(tokens(text.lower()))
+            if len(seen) >= FLUSH:
+                yield out()
+    if seen:
+        yield out()
+    tidy()
+
+
+def corpus_counts(texts: DataFrame) -> DataFrame:
+    """Columns w and n: the occurrences of every word in the whole corpus."""
+    return texts.select("_text").mapInArrow(_words, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def score(docs: DataFrame, model: Model | Constant, text_col: str = "text", name: str = "score", keep: tuple[str, ...] | None = None) -> DataFrame:

@@ -430,6 +430,23 @@ def test_toxicity_held_out(spark):
     assert sum(hits) >= 0.97 * len(hits)
 
 
+def test_toxicity_fixed_expression(spark):
+    """A toxic word that always follows the same word, which ordinary texts hold as well, counts."""
+    r = random.Random(12)
+    rows = []
+    for k in range(1500):
+        words = text_of(5000 + k, r.randrange(20, 120)).split()
+        words[r.randrange(len(words))] = "utterly vileword" if k % 6 == 0 else "utterly"
+        rows.append((k, " ".join(words), "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([(k, 1, int(k % 6 == 0)) for k in range(1500)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(docs, labels, Scratch(spark))
+    assert "vileword" in model.vocabulary
+    plain = text_of(9000, 40)
+    alone, both = model.scores([f"{plain} utterly {plain}", f"{plain} utterly vileword {plain}"])
+    assert both > alone
+
+
 def test_toxicity_never_learns_held_out_labels(spark):
     docs, labels = labelled(spark, 300)
     flipped = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT, 1 - F.col("toxic")).otherwise(F.col("toxic")))
