@@ -12,3 +12,12 @@ def test_tokens_of_all_documents_outside_visuals(spark, sf_dir):
     got = [r.token for r in catalog.queries()["tokens_outside_visuals"](spark, sf_dir).collect()]
     assert sorted(got) == sorted(r["token"] for r in run_sql(sql, sf_dir))
     assert max(got) >= 10 * 1000
+
+
+def test_links_and_speech_of_every_document(spark, tmp_path):
+    rows = [(1, "see WWW.example.com now"), (2, "no link"), (3, "Www.example.org"), (4, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    links = catalog.queries()["text_links"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.label) for r in links) == [(1, "WWW.example.com"), (3, "Www.example.org")]
+    spoken = catalog.queries()["spoken_text"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in spoken) == [1, 2, 3, 4]
