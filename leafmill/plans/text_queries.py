@@ -150,7 +150,7 @@ def markdown_tables(spark, sf_dir):
 SELECT conv_id, turn, repeat('`', 3) || chr(10) || regexp_replace(text, '\s+$', '') || chr(10) || repeat('`', 3) AS block FROM conversations WHERE NOT contains(text, '`')
 """)
 def code_blocks(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").filter(~F.contains("text", F.lit("`")))
+    c = read(spark, sf_dir, "conversations").filter("text is not null")
     return c.select("conv_id", "turn", md.fenced_code("text").alias("block"))
 
 

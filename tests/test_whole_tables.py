@@ -21,3 +21,10 @@ def test_links_and_speech_of_every_document(spark, tmp_path):
     assert sorted((r.doc_id, r.label) for r in links) == [(1, "WWW.example.com"), (3, "Www.example.org")]
     spoken = catalog.queries()["spoken_text"](spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in spoken) == [1, 2, 3, 4]
+
+
+def test_code_blocks_of_turns_with_backticks(spark, tmp_path):
+    rows = [(1, 0, "plain"), (1, 1, "a `b`"), (1, 2, "```\nx\n```"), (1, 3, None)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = {r.turn: r.block for r in catalog.queries()["code_blocks"](spark, str(tmp_path)).collect()}
+    assert out == {0: "```\nplain\n```", 1: "```\na `b`\n```", 2: "````\n```\nx\n```\n````"}
