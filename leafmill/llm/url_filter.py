@@ -6,7 +6,8 @@ own is blocked if an alias is blocked by rule and none is explicitly allowed; a
 always decides, so an explicit allow takes precedence over what aliases carry. What neither rules
 nor aliases decide is allowed.
 
-A node is a host and path: rules see nothing else of a url. Only DataFrame functions are used.
+A node is a url without scheme and fragment: host, path and query. Rules see its host and path.
+Links are resolved against their page's url. Only DataFrame functions are used.
 
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule and has
 no alias; repeated urls are judged alike, row by row; an empty table gives no rows; extra columns
@@ -49,10 +50,28 @@ def rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]] = R
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def node(url: Column) -> Column:
+    """Host, path and query; null for a url without host and path."""
+    query = F.coalesce(F.regexp_extract(url, r"(?s)^[^#]*?://[^?#]*(\?[^#]*)", 1), F.lit(""))
+    return F.when(F.concat(host(url), path(url)) != "", F.concat(host(url), path(url), query))
+
+
+def without_dots(path_: Column) -> Column:
+    """A path from the root with its . and .. segments resolved."""
+    parts = F.split(F.regexp_replace(path_, "^/", ""), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(p == ".", a).otherwise(F.concat(a, F.array(p))))
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
+
+
 def absolute(link: Column, base: Column) -> Column:
-    """A link resolved against its page's url: absolute, scheme-relative, or from the host's root; else null."""
+    """A link resolved against its page's url."""
     scheme, root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.when(F.contains(link, F.lit("://")), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link)).when(F.startswith(link, F.lit("/")), F.concat(root, link))
+    own, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path(base), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    out = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link)).when(root == "", F.lit(None))
+    out = out.when(F.startswith(link, F.lit("/")), F.concat(root, without_dots(own), rest)).when(F.startswith(link, F.lit("#")), F.concat(F.regexp_extract(base, r"(?s)^([^#]*)", 1), link))
+    return out.when(F.startswith(link, F.lit("?")), F.concat(root, path(base), link)).otherwise(F.concat(root, without_dots(F.concat(folder, own)), rest))
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
@@ -62,19 +81,18 @@ def page_edges(pages: DataFrame) -> DataFrame:
 
 
 def judge(urls: DataFrame, edges: DataFrame, scratch: Scratch, rules: Sequence[tuple[str, str, str]] = RULES, default: str = "allow", url_col: str = "url") -> DataFrame:
-    """Add host, path, rule, verdict and alias_root (smallest host and path of the class; null if alone).
+    """Add host, path, rule, verdict and alias_root (smallest node of the class; null if alone).
 
     ``edges`` has the columns src and dst: redirects and canonical links between urls.
     """
-    node = lambda u: F.nullif(F.concat(host(u), path(u)), F.lit(""))
     links = edges.select(node(F.col("src")).alias("u"), node(F.col("dst")).alias("v"))
     classes = connected_components(links, scratch)
     # Every node of a class votes, also one that is only a link's target.
-    at = F.regexp_extract("node", r"(?s)^([^/]*)", 1)
-    voted = classes.select("node", "root", rule(at, F.regexp_extract("node", r"(?s)^[^/]*(.*)$", 1), rules)["verdict"].alias("v"))
+    at = F.regexp_extract("node", r"(?s)^([^/?]*)", 1)
+    voted = classes.select("node", "root", rule(at, F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1), rules)["verdict"].alias("v"))
     votes = voted.groupBy("root").agg(F.bool_or(F.col("v") == "block").alias("_block"), F.bool_or(F.col("v") == "allow").alias("_allow"), F.count("*").alias("_size"))
     nodes = scratch.save(voted.join(votes, "root").select(F.col("node").alias("_node"), F.col("root").alias("alias_root"), F.when(F.col("_allow"), "allow").when(F.col("_block"), "block").alias("_inherited")), "aliases")
-    own = urls.withColumn("host", host(F.col(url_col))).withColumn("path", path(F.col(url_col))).withColumn("_own", rule(F.col("host"), F.col("path"), rules)).withColumn("_node", F.nullif(F.concat("host", "path"), F.lit("")))
+    own = urls.withColumn("host", host(F.col(url_col))).withColumn("path", path(F.col(url_col))).withColumn("_own", rule(F.col("host"), F.col("path"), rules)).withColumn("_node", node(F.col(url_col)))
     if nodes.limit(1).count():
         sizes = own.groupBy("_node").agg(F.count("*").alias("_rows"))
         nodes = scratch.save(nodes.join(sizes, "_node"), "sized")

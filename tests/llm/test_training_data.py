@@ -162,6 +162,18 @@ def test_page_edges(spark):
     assert sorted((r.src or "", r.dst) for r in url_filter.page_edges(pages).collect()) == [("", "https://z.org/y"), ("https://a.org/b", "https://a.org/c"), ("https://a.org/b", "https://z.org/y")]
 
 
+def test_relative_links_and_queries(spark):
+    cases = [("next.html", "http://h.com/a/next.html"), ("../x", "http://h.com/x"), ("../../../x/./y/..", "http://h.com/x/"), ("?id=2", "http://h.com/a/b?id=2"), ("#top", "http://h.com/a/b?q=1#top"), ("//o.org/z", "http://o.org/z"), ("/r/../s?u=http://k", "http://h.com/s?u=http://k"), ("HTTPS://k/l", "HTTPS://k/l"), (".", "http://h.com/a/")]
+    df = spark.createDataFrame([(link,) for link, _ in cases], "link string")
+    got = {r.link: r.to for r in df.select("link", url_filter.absolute(F.col("link"), F.lit("http://h.com/a/b?q=1#f")).alias("to")).collect()}
+    assert got == dict(cases)
+    meta = '<meta http-equiv="refresh" content="0; url=%s">'
+    rows = [(1, "http://h.com/a/index.php?id=1", meta % "../de/x"), (2, "http://h.com/a/index.php?id=2", ""), (3, "http://h.com/a/index.php?id=3", meta % "?id=1")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    out = url_filter.judge(pages.select("page_id", "url"), url_filter.page_edges(pages), Scratch(spark)).collect()
+    assert {r.page_id: r.verdict for r in out} == {1: "block", 2: "allow", 3: "block"}
+
+
 def test_connected_components(spark):
     r = random.Random(5)
     edges = [(k, k + 1) for k in range(40)] + [(r.randrange(100, 300), r.randrange(100, 300)) for _ in range(120)] + [(500, k) for k in range(501, 560)] + [(None, 3), (7, 7)]
