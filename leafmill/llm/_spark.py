@@ -4,6 +4,7 @@ fixed-size bitmap filters and joins that stay even under hot keys."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -22,6 +23,8 @@ HEAVY_SHARE = 1000
 TEXT_ROWS = 500
 
 _own_dirs: dict[str, str] = {}
+#: Scratch tables that still stand, with the session that wrote them.
+_standing: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @atexit.register
-def _remove_own_dirs() -> None:
+def _tidy_up() -> None:
+    """Scratch tables that results were read from are removed when the driver's process ends."""
     import shutil
 
+    for path, spark in _standing.items():
+        with contextlib.suppress(Exception):  # the session's JVM may be gone
+            delete_path(spark, path)
     for path in _own_dirs.values():
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
@@ -71,13 +78,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 class Scratch:
     """Written tables in the shared folder. They cut lineage and survive lost executors.
 
-    ``save`` writes and rereads a table; ``drop`` removes tables whose rows no later plan reads.
+    ``save`` writes and rereads a table; ``drop`` removes tables whose rows no later plan reads. What
+    is left, since results are read from it, goes when the driver's process ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -86,6 +94,7 @@ class Scratch:
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         path = new_path(self.spark, tag)
+        _standing[path] = self.spark
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
@@ -96,6 +105,7 @@ class Scratch:
         for df in frames:
             path = self._paths.pop(id(df), None)
             if path:
+                _standing.pop(path, None)
                 delete_path(self.spark, path)
 
 

@@ -4,27 +4,28 @@
 as a response), a request and a metadata record. Records are strings of bytes ended by two empty
 lines, so Spark's text sink writes them: to any store Spark knows, and committed task by task, so
 lost executors leave no half archives. ``read_records`` parses whole archives by Content-Length
-from the binary file source. ``assemble`` joins request, response and metadata records through
-their concurrent-to identifiers, also over a record between them, and emits one nested row per
-capture.
+from the binary file source, piece by piece. ``assemble`` joins request, response and metadata
+records through their concurrent-to identifiers, over any number of records between them, and emits
+one nested row per capture. Archives are rolled at about ROLL_BYTES of payload.
 
 Defined cases: a null payload is empty; a null url gives no url back; white space in a url is
 percent-encoded; a null page id orders last and comes back null; rows repeated in id and payload
-are captures of their own, and all responses if theirs is the smallest id of the payload; payloads
-below ``least_bytes`` are never revisited; an empty table gives no captures; other columns aren't
+are captures of their own, and all responses if theirs is the smallest id of the payload (revisits
+then name no response record); payloads below ``least_bytes`` are never revisited; an empty table gives no captures; other columns aren't
 archived. Archives whose records break off raise an error.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, join_groups, new_path
+from ._spark import Scratch, delete_path, join_groups, new_path, tidy
 
 CRLF = "\r\n"
 #: Payloads of fewer bytes are always archived whole.
@@ -34,15 +35,26 @@ NO_URL = "urn:leafmill:no-url"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of records handed on at once.
 BATCH_BYTES = 4_000_000
+#: Payload bytes after which an archive is rolled, by the mean payload; bytes inflated at a time.
+ROLL_BYTES, STEP = 256_000_000, 1_000_000
 
 
-def sha1_base32(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1: each five hexadecimal digits are four base32 digits."""
-    digits = F.sha1(data)
+def base32(digits: Column) -> Column:
+    """Upper-case base32 of 40 hexadecimal digits: each five of them are four base32 digits."""
     quads = [F.lpad(F.conv(F.substring(digits, k, 5), 16, 32), 4, "0") for k in range(1, 41, 5)]
     return F.translate(F.upper(F.concat(*quads)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def sha1_base32(data: Column) -> Column:
+    return base32(F.sha1(data))
+
+
+def _dashed(name: Column) -> Column:
+    """The first 31 of 32 hexadecimal digits, grouped as in a UUID."""
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 11))
+    return F.concat_ws("-", *(F.substring(name, at, n) for at, n in cuts))
+
+
 def _line(name: str, value: Column) -> Column:
     """A header line, or nothing for a null."""
     return F.coalesce(F.concat(F.lit(name + ": "), value, F.lit(CRLF)), F.lit(""))
@@ -61,122 +73,230 @@ def _clean(url: Column) -> Column:
     return url
 
 
-def write_captures(pages: DataFrame, path: str, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = LEAST_BYTES) -> None:
-    base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.coalesce(F.col(payload_col), F.lit("")).alias("_payload"))
-    base = base.withColumn("_digest", sha1_base32(F.encode("_payload", "UTF-8"))).withColumn("_bytes", F.octet_length("_payload"))
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id")))
-    groups = base.filter(F.col("_bytes") >= least_bytes).groupBy("_digest").agg(first.alias("_first"), F.count("*").alias("_copies"), F.min("_bytes").alias("_group_bytes")).filter("_copies > 1")
-    groups = scratch.save(groups.select("_digest", F.col("_first.id").alias("_first"), "_copies"), "payloads")
-    total = pages.count()
-    met = join_groups(base, groups, "_digest", "_copies", total)
+def _payload_groups(base: DataFrame, least_bytes: int) -> DataFrame:
+    """One row per payload that is archived more than once: _sha, _first (its smallest id), _copies, and _single:
+    whether one row only has that id, so that one response record holds the payload."""
+    by_id = base.filter(F.col("_bytes") >= least_bytes).groupBy("_sha", "_id").agg(F.count("*").alias("_n"))
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_n").alias("n")))
+    groups = by_id.groupBy("_sha").agg(least.alias("_least"), F.sum("_n").alias("_copies")).filter("_copies > 1")
+    return groups.select("_sha", F.col("_least.id").alias("_first"), (F.col("_least.n") == 1).alias("_single"), "_copies")
+
+
+def write_captures(
+    pages: DataFrame,
+    path: str,
+    scratch: Scratch,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    payload_col: str = "html",
+    least_bytes: int = LEAST_BYTES,
+    roll_bytes: int = ROLL_BYTES,
+) -> None:
+    payload = F.coalesce(F.col(payload_col), F.lit(""))
+    base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), payload.alias("_payload"))
+    base = base.withColumn("_sha", F.sha1(F.encode("_payload", "UTF-8"))).withColumn("_bytes", F.octet_length("_payload"))
+    groups = scratch.save(_payload_groups(base.select("_id", "_sha", "_bytes"), least_bytes), "payloads")
+    size = base.agg(F.count("*").alias("n"), F.sum("_bytes").alias("bytes")).first()
+    met = join_groups(base, groups, "_sha", "_copies", size.n)
     again = F.col("_copies").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first"))
-    met = met.withColumn("_kind", F.when(again, "revisit").otherwise("response")).withColumn("_uuid", F.expr("uuid()"))
-    urn = lambda part: F.concat(F.lit("<urn:uuid:"), F.substring("_uuid", 1, 35), F.lit(part + ">"))
+    # The one response of a repeated payload is named by the payload, so that its revisits can refer to it.
+    salt = uuid.uuid4().hex
+    named = F.md5(F.concat(F.lit(salt), F.col("_sha")))
+    own = F.when(F.col("_single") & ~again, named).otherwise(F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")))
+    met = met.withColumn("_kind", F.when(again, "revisit").otherwise("response")).withColumn("_name", own)
     # One identifier a capture; its last digit tells the records apart.
+    urn = lambda name, part: F.concat(F.lit("<urn:uuid:"), _dashed(name), F.lit(part + ">"))
     uri = _line("WARC-Target-URI", F.coalesce(_clean(F.col("_url")), F.lit(NO_URL)))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("_bytes").cast("string"), F.lit(CRLF + CRLF))
-    digest = _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("_digest")))
-    revisit = _line("WARC-Profile", F.when(F.col("_kind") == "revisit", PROFILE))
-    main = _record(F.col("_kind"), urn("0"), [uri, digest, revisit], "application/http;msgtype=response", F.when(F.col("_kind") == "revisit", http).otherwise(F.concat(http, F.col("_payload"))))
+    digest = _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("_sha"))))
+    is_revisit = F.col("_kind") == "revisit"
+    profile = _line("WARC-Profile", F.when(is_revisit, PROFILE))
+    to_first = _line("WARC-Refers-To", F.when(is_revisit & F.col("_single"), urn(named, "0")))
+    http = F.concat(
+        F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
+        F.col("_bytes").cast("string"),
+        F.lit(CRLF + CRLF),
+    )
+    block = F.when(is_revisit, http).otherwise(F.concat(http, F.col("_payload")))
+    name = F.col("_name")
+    main = _record(F.col("_kind"), urn(name, "0"), [uri, digest, profile, to_first], "application/http;msgtype=response", block)
     place = F.coalesce(F.nullif(F.regexp_extract(_clean(F.col("_url")), r"^.*?://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
     host = F.regexp_extract(F.coalesce(_clean(F.col("_url")), F.lit("")), r"^.*?://([^/?#]*)", 1)
-    request = _record(F.lit("request"), urn("1"), [uri, _line("WARC-Concurrent-To", urn("0"))], "application/http;msgtype=request", F.concat(F.lit("GET "), place, F.lit(" HTTP/1.1" + CRLF + "Host: "), host, F.lit(CRLF + CRLF)))
-    refers = F.when(F.col("_kind") == "revisit", F.col("_first"))
-    about = F.concat(_line("page-id", F.col("_id").cast("string")), _line("payload-bytes", F.col("_bytes").cast("string")), _line("refers-to-page", refers.cast("string")))
-    metadata = _record(F.lit("metadata"), urn("2"), [uri, _line("WARC-Concurrent-To", urn("1"))], "application/warc-fields", about)
+    asked = F.concat(F.lit("GET "), place, F.lit(" HTTP/1.1" + CRLF + "Host: "), host, F.lit(CRLF + CRLF))
+    beside = lambda part: [uri, _line("WARC-Concurrent-To", urn(name, part))]
+    request = _record(F.lit("request"), urn(name, "1"), beside("0"), "application/http;msgtype=request", asked)
+    about = F.concat(
+        _line("page-id", F.col("_id").cast("string")),
+        _line("payload-bytes", F.col("_bytes").cast("string")),
+        _line("refers-to-page", F.when(is_revisit, F.col("_first")).cast("string")),
+    )
+    metadata = _record(F.lit("metadata"), urn(name, "2"), beside("1"), "application/warc-fields", about)
     records = met.select(F.explode(F.array(main, request, metadata)).alias("value"))
-    records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
-
-
-FIELDS = ("record_type", "record_id", "date", "target_uri", "payload_digest", "profile", "content_type")
-HEADERS = {"warc-type": 0, "warc-record-id": 1, "warc-date": 2, "warc-target-uri": 3, "warc-payload-digest": 4, "warc-profile": 5, "content-type": 6}
-SCHEMA = "record_type string, record_id string, date string, target_uri string, payload_digest string, profile string, content_type string, concurrent_to array<string>, http_head string, payload binary"
-
-
-def parse(data: bytes) -> Iterator[tuple]:
-    """The records of an uncompressed archive: FIELDS, concurrent-to identifiers, HTTP head, payload."""
-    at, end = 0, len(data)
-    while at < end:
-        head = data.find(b"\r\n\r\n", at)
-        if head < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields: list = [None] * 7
-        concurrent, length = [], None
-        for line in data[at:head].decode("utf-8", "replace").split("\r\n")[1:]:
+    mean = (size.bytes or 0) / max(1, size.n) / 3 + 500
+    sink = records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
+    sink.option("maxRecordsPerFile", max(3, int(roll_bytes / mean))).text(path)
+
+
+FIELDS = ("record_type", "record_id", "date", "target_uri", "payload_digest", "profile", "refers_to", "content_type")
+HEADERS = {
+    "warc-type": "record_type",
+    "warc-record-id": "record_id",
+    "warc-date": "date",
+    "warc-target-uri": "target_uri",
+    "warc-payload-digest": "payload_digest",
+    "warc-profile": "profile",
+    "warc-refers-to": "refers_to",
+    "content-type": "content_type",
+}
+SCHEMA = ", ".join(f"{f} string" for f in FIELDS) + ", concurrent_to array<string>, http_head string, payload binary"
+
+
+def inflate(data: bytes, step: int = STEP) -> Iterator[bytes]:
+    """The content of an archive in pieces of at most ``step`` bytes: all members of a gzip stream, other bytes as they are."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), step):
+            yield data[at : at + step]
+        return
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(data) and not member.unconsumed_tail:
+                raise ValueError("the compressed archive breaks off")
+            given = member.unconsumed_tail or view[at : at + step]
+            at += 0 if member.unconsumed_tail else len(given)
+            if piece := member.decompress(given, step):
+                yield piece
+        at -= len(member.unused_data)
+
+
+def parse(pieces: Iterable[bytes]) -> Iterator[dict]:
+    """The records of an archive given in pieces; no more than a record and a piece stand in memory."""
+    pieces, held, at = iter(pieces), bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
+    while True:
+        if at > STEP:
+            del held[:at]
+            at = 0
+        while held[at : at + 2] == CRLF.encode() or (len(held) - at < 2 and more()):
+            if held[at : at + 2] == CRLF.encode():
+                at += 2
+        if at >= len(held):
+            return
+        while (head := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                break
+        if head < 0 or not held.startswith(b"WARC/", at):
+            raise ValueError("no WARC record where one should start")
+        record = dict.fromkeys(FIELDS) | {"concurrent_to": [], "http_head": None}
+        length = None
+        for line in held[at:head].decode("utf-8", "replace").split(CRLF)[1:]:
             name, _, value = line.partition(":")
             name, value = name.strip().lower(), value.strip()
             if name == "content-length":
                 length = int(value)
             elif name == "warc-concurrent-to":
-                concurrent.append(value)
+                record["concurrent_to"].append(value)
             elif name in HEADERS:
-                fields[HEADERS[name]] = value
-        if length is None or head + 4 + length > end:
-            raise ValueError(f"the WARC record at byte {at} breaks off")
-        block, http = data[head + 4 : head + 4 + length], None
-        if (fields[6] or "").startswith("application/http"):
-            cut = block.find(b"\r\n\r\n")
-            cut = len(block) if cut < 0 else cut + 4
-            http, block = block[:cut].decode("utf-8", "replace"), block[cut:]
-        yield (*fields, concurrent, http, block)
-        at = head + 4 + length
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-
-
-def _gunzip(data: bytes) -> bytes:
-    """All members of a gzip stream; other bytes as they are."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        if not d.eof:
-            raise ValueError("the compressed archive breaks off")
-        data = d.unused_data
-    return b"".join(out)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string()] * 7 + [pa.list_(pa.string()), pa.string(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[*FIELDS, "concurrent_to", "http_head", "payload"])
+                record[HEADERS[name]] = value
+        start = head + 4
+        while length is not None and len(held) < start + length and more():
+            pass
+        if length is None or len(held) < start + length:
+            raise ValueError("a WARC record breaks off")
+        block = bytes(held[start : start + length])
+        if (record["content_type"] or "").startswith("application/http"):
+            top, end, rest = block.partition(b"\r\n\r\n")
+            record["http_head"], block = (top + end).decode("utf-8", "replace"), rest
+        yield record | {"payload": block}
+        at = start + length
 
 
 def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [(f, pa.string()) for f in FIELDS] + [("concurrent_to", pa.list_(pa.string())), ("http_head", pa.string()), ("payload", pa.binary())]
+    schema = pa.schema(kinds)
     for batch in batches:
         for k in range(batch.num_rows):
             rows, size = [], 0
-            for row in parse(_gunzip(batch.column(0)[k].as_py())):
-                rows.append(row)
-                size += len(row[-1]) + 500
+            for record in parse(inflate(batch.column(0)[k].as_py())):
+                rows.append(record)
+                size += len(record["payload"]) + 500
                 if size > BATCH_BYTES:
-                    yield _batch(rows)
+                    yield pa.RecordBatch.from_pylist(rows, schema)
                     rows, size = [], 0
             if rows:
-                yield _batch(rows)
+                yield pa.RecordBatch.from_pylist(rows, schema)
+    tidy()
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives below ``path``. An archive is read whole by one task: roll archives at a size that fits."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0").select("content").mapInArrow(_parse_files, SCHEMA)
-
-
-def assemble(records: DataFrame) -> DataFrame:
+    """All records of the archives below ``path``; a task holds an archive's compressed bytes and a few records.
+
+    The frame parses the archives whenever it is evaluated; save it before several plans read it.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.filter("length > 0").select("content").mapInArrow(_parse_files, SCHEMA)
+
+
+MAIN = ("response", "revisit", "resource")
+
+
+def capture_of(records: DataFrame, scratch: Scratch) -> DataFrame:
+    """Columns record_id, main: each request and metadata record with the main records it belongs to.
+
+    Concurrent-to names a record of the same capture, in either direction and over any number of
+    records between, but not through another main record. Each round follows one more step; pairs
+    met before aren't followed again, so circles end.
+    """
+    is_main = F.col("record_type").isin(*MAIN)
+    kinds = records.filter("record_id is not null").groupBy("record_id").agg(F.max(is_main).alias("_main"))
+    links = records.filter("record_id is not null").select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
+    if not (links := scratch.save(links.distinct(), "links")).limit(1).count():
+        return links.select(F.col("a").alias("record_id"), F.col("b").alias("main")).limit(0)
+    typed = links.join(kinds.withColumnsRenamed({"record_id": "a", "_main": "am"}), "a").join(kinds.withColumnsRenamed({"record_id": "b", "_main": "bm"}), "b")
+    both = typed.select("a", "b", "am", "bm").unionByName(typed.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("bm").alias("am"), F.col("am").alias("bm")))
+    both = scratch.save(both.filter("not bm").distinct().select("a", "b", "am"), "steps")
+    scratch.drop(links)
+    reached = step = scratch.save(both.filter("am").select(F.col("b").alias("record_id"), F.col("a").alias("main")), "reached")
+    between = both.filter("not am").select(F.col("a").alias("record_id"), "b")
+    while step.limit(1).count():
+        step = step.join(between, "record_id").select(F.col("b").alias("record_id"), "main").distinct()
+        step = scratch.save(step.join(reached, ["record_id", "main"], "left_anti"), "reached")
+        reached = reached.unionByName(step)
+    return reached
+
+
+def assemble(records: DataFrame, scratch: Scratch) -> DataFrame:
     """One nested row per capture: record_id, record_type, url, payload, payload_bytes, payload_sha1 (of what was read),
-    payload_digest (as recorded), http_head, request struct, metadata array of structs."""
-    main = records.filter("record_type in ('response', 'revisit', 'resource')")
-    side = records.filter("record_type in ('request', 'metadata')").select("record_id", "record_type", "http_head", F.decode("payload", "UTF-8").alias("text"), "concurrent_to")
-    links = side.select("record_id", F.explode("concurrent_to").alias("to"))
-    over = links.join(links.select(F.col("record_id").alias("to"), F.col("to").alias("beyond")), "to").select("record_id", F.col("beyond").alias("to"))
-    back = main.select(F.col("record_id").alias("to"), F.explode("concurrent_to").alias("record_id")).select("record_id", "to")
-    pairs = links.unionByName(over).unionByName(back).distinct()
-    told = pairs.join(side.drop("concurrent_to"), "record_id").groupBy("to").agg(
+    payload_digest (as recorded), refers_to (record id, of revisits), http_head, request struct, metadata array of structs.
+
+    ``records`` is read several times: give a saved table. Payloads move once, in the last join, and not at all where
+    their column isn't asked for.
+    """
+    side = records.filter("record_type in ('request', 'metadata')")
+    side = side.select("record_id", "record_type", "http_head", F.decode("payload", "UTF-8").alias("text"))
+    told = capture_of(records.select("record_id", "record_type", "concurrent_to"), scratch).join(side, "record_id").groupBy(F.col("main").alias("record_id")).agg(
         F.min(F.when(F.col("record_type") == "request", F.struct("record_id", "http_head"))).alias("request"),
         F.sort_array(F.collect_list(F.when(F.col("record_type") == "metadata", F.struct("record_id", "text")))).alias("metadata"),
     )
-    base = main.select("record_id", "record_type", F.nullif("target_uri", F.lit(NO_URL)).alias("url"), "date", "http_head", "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_sha1"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"))
-    return base.join(told.withColumnRenamed("to", "record_id"), "record_id", "left")
+    base = records.filter(F.col("record_type").isin(*MAIN)).select(
+        "record_id",
+        "record_type",
+        F.nullif("target_uri", F.lit(NO_URL)).alias("url"),
+        "date",
+        "refers_to",
+        "http_head",
+        "payload",
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        sha1_base32(F.col("payload")).alias("payload_sha1"),
+        F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+    )
+    return base.join(told, "record_id", "left")
 
 
 def field(metadata: Column, name: str) -> Column:
@@ -186,9 +306,12 @@ def field(metadata: Column, name: str) -> Column:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
     path = new_path(spark, "archives")
-    write_captures(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path, Scratch(spark))
-    captures = assemble(read_records(spark, path))
+    write_captures(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path, scratch)
+    records = scratch.save(read_records(spark, path), "records")
+    delete_path(spark, path)
+    captures = assemble(records, scratch)
     revisit = F.col("record_type") == "revisit"
     return captures.select(
         field(F.col("metadata"), "page-id").cast("bigint").alias("page_id"),
@@ -199,5 +322,19 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: base32 of a SHA-1: each of its 32 digits is five bits of its 160.
+SQL = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (
+  SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+      (CAST('0x' || substr(h, 1 + (k // 4) * 5, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INTEGER), 1) FOR k IN range(32)], '') AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM b)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to
+FROM f
+"""
+
 QUERIES = {"op6_warc": op6_warc}
-ORACLES = {}
+ORACLES = {"op6_warc": SQL}

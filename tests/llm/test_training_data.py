@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import random
 import zlib
@@ -283,7 +284,7 @@ def test_warc_round_trip(spark):
     warc.write_captures(pages, path, Scratch(spark))
     records = warc.read_records(spark, path)
     assert records.count() == 3 * len(odd)
-    got = warc.assemble(records).collect()
+    got = warc.assemble(records, Scratch(spark)).collect()
     assert len(got) == len(odd) and all(r.request is not None and len(r.metadata) == 1 for r in got)
     kinds = collections.Counter((r.url, r.record_type, bytes(r.payload).decode(), r.payload_digest) for r in got)
     assert kinds["u", "response", "x", digest("x")] == 2 and kinds["u", "revisit", "", digest("x")] == 1
@@ -296,14 +297,49 @@ def test_warc_round_trip(spark):
     assert warc.read_records(spark, least).filter("record_type = 'revisit'").count() == 2
     none = new_path(spark, "test")
     warc.write_captures(pages.limit(0), none, Scratch(spark))
-    assert warc.assemble(warc.read_records(spark, none)).count() == 0
+    assert warc.assemble(warc.read_records(spark, none), Scratch(spark)).count() == 0
+    response = {r.payload_digest: r.record_id for r in got if r.record_type == "response"}
+    for r in got:  # where one response holds the payload, its revisits name it
+        want = response[r.payload_digest] if r.record_type == "revisit" and r.payload_digest != digest("x") else None
+        assert r.refers_to == want
+
+
+def test_warc_captures_over_chains_and_circles(spark, tmp_path):
+    def record(kind, name, to, block=b""):
+        lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *(f"WARC-Concurrent-To: <{t}>" for t in to), "Content-Type: text/plain", f"Content-Length: {len(block)}"]
+        return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    chain = [record("metadata", f"m{k}", [f"m{k - 1}" if k else "q"], b"n%d" % k) for k in range(5)]
+    data = [
+        record("response", "a", [], b"A" * 5_000_000), record("request", "q", ["a"]), *chain,
+        record("response", "b", ["p"], b"B"), record("request", "p", []), record("metadata", "x", ["y"], b"1"), record("metadata", "y", ["x", "p"], b"2"),
+        record("response", "c", ["gone"]), record("warcinfo", "i", []),
+    ]
+    (tmp_path / "plain.warc").write_bytes(b"".join(data[:4]))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, data[4:])))
+    got = {r.record_id: r for r in warc.assemble(warc.read_records(spark, f"file://{tmp_path}"), Scratch(spark)).collect()}
+    assert got["<a>"].payload_bytes == 5_000_000 and got["<a>"].request.record_id == "<q>"
+    assert [m.text for m in got["<a>"].metadata] == ["n0", "n1", "n2", "n3", "n4"]
+    assert got["<b>"].request.record_id == "<p>" and [m.text for m in got["<b>"].metadata] == ["1", "2"]
+    assert got["<c>"].metadata is None and len(got) == 3
+
+
+@pytest.mark.parametrize("step", [1, 7, 1000])
+def test_warc_pieces_of_any_size(step):
+    block = b"GET / HTTP/1.1\r\n\r\n\r\n"
+    one = b"WARC/1.1\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    for data in (one * 3, gzip.compress(one) * 3, gzip.compress(one * 3)):
+        got = list(warc.parse(warc.inflate(data, step)))
+        assert [(r["http_head"], r["payload"]) for r in got] == [("GET / HTTP/1.1\r\n\r\n", b"\r\n")] * 3
+    with pytest.raises(ValueError):
+        list(warc.inflate(gzip.compress(one)[:-9], step))
 
 
 def test_broken_archives_are_refused():
     with pytest.raises(ValueError):
-        list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+        list(warc.parse([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"]))
     with pytest.raises(ValueError):
-        list(warc.parse(b"not a record"))
+        list(warc.parse([b"not a record"]))
 
 
 def test_warc_query(spark, sf_dir):
