@@ -6,16 +6,22 @@
    threshold 0.8 a pair shares a band with probability 1 - (1 - 0.8**7)**32 = 0.9995.
 3. Band hashes shuffle; in each bucket every class links to the bucket's smallest class only. The
    connected components of these links hold every pair of classes that share a bucket.
-4. The texts of classes in a component meet once. Components beyond TILE classes are cut into
-   tiles, and each pair of tiles is a group of its own, so no group outgrows its bound. In a group
-   all pairs are verified on full n-gram sets by products of incidence matrices; what leaves it is
-   a row per class: its number of links, and the smallest class it reaches.
+4. The texts of classes that share buckets meet once or a few times. A component of TILE classes at
+   most is one group. A larger one is either cut into tiles, each pair of which is a group, or, where
+   that moves fewer rows, taken apart into its buckets, buckets of the same classes counting once;
+   only buckets of more than TILE classes are tiled then, so a long chain of candidates costs as
+   many rows as it has places in buckets. A pair that meets in several buckets counts in the first.
+   Groups are dealt to tasks by number. In a group pairs are verified on full n-gram sets by products
+   of incidence matrices; what leaves it is a row per class: its number of links, and the smallest
+   class it reaches.
 5. Components over the verified links give the near-duplicate classes.
 
-Texts shorter than n words have one n-gram, the whole. Defined cases: a null text, or one without
-words, has no n-grams, links with nothing and is a class of its own row; a class's id is its
-smallest doc_id, nulls last; rows repeated in id and text are separate documents of one class; an
-empty table gives no rows; extra columns of the input are ignored by ``join`` and kept by ``dedup``.
+A class is known by the hash of its words throughout, never by a doc_id. Texts shorter than n words
+have one n-gram, the whole. Defined cases: a null text, or one without words, has no n-grams, links
+with nothing and is a class of its own row; a class's id is its smallest doc_id, nulls last (null if
+it has none); rows repeated in id and text are separate documents of one class, and an id that
+repeats with different texts is judged text by text; an empty table gives no rows; extra columns of
+the input are ignored by ``join`` and kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -27,12 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._graph import connected_components
-from ._spark import Scratch, drop_matches, join_groups, keep_matches, small_batches, tidy
+from ._spark import Scratch, join_groups, key_filter, small_batches, tidy, with_membership
 
 N, BANDS, ROWS = 5, 32, 7
 #: The threshold as a fraction, so that it is compared in whole numbers.
@@ -136,20 +142,38 @@ def links_within(sets: list[np.ndarray], left: list[int], right: list[int], same
     union = sizes[:a, None] + (sizes if same else sizes[a:])[None, :] - inter
     hit = (SIMILAR[1] * inter >= SIMILAR[0] * union) & (inter > 0)
     i, j = np.nonzero(np.triu(hit, 1) if same else hit)
-    return np.array(left)[i], np.array(left if same else right)[j]
+    return np.array(left, int)[i], np.array(left if same else right, int)[j]
+
+
+def class_hash(text: Column) -> Column:
+    """What ``_class_of`` gives for the words of a text; null without words."""
+    words = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+    return F.when(words != "", F.md5(words))
+
+
+def _first_meeting(places: list[list[dict] | None], a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+    """Of pairs (a, b) in the bucket of this band, those that share no bucket of an earlier band."""
+    table = np.zeros((len(places), BANDS), np.int64)
+    for k, own in enumerate(places):
+        for p in own or ():
+            table[k, p["at"]] = p["band"]
+    first = np.empty(len(a), bool)
+    for k in range(0, len(a), 65536):
+        x, y = table[a[k : k + 65536]], table[b[k : k + 65536]]
+        first[k : k + 65536] = ((x == y) & (x != 0)).argmax(axis=1) == bucket
+    return first
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group: (_component, _i, _j, _tile, _class, _members, text); a row per class of each group out."""
+    """Rows sorted by group (_group, _i, _j): _tile, _class, _members, _at, _places, _text; a row per class of each group out."""
     key, rows, out = None, {}, []
 
     def close() -> None:
         classes = list(rows)
-        sets = [rows[c][2] for c in classes]
-        i, j = key[1], key[2]
+        i, j, bucket = key[1:]
         left = [k for k, c in enumerate(classes) if rows[c][0] == i]
         right = left if i == j else [k for k, c in enumerate(classes) if rows[c][0] == j]
-        a, b = links_within(sets, left, right, i == j)
+        a, b = links_within([rows[c][3] for c in classes], left, right, i == j)
         root = list(range(len(classes)))
 
         def find(x: int) -> int:
@@ -158,85 +182,153 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = root[x]
             return x
 
-        members = np.array([rows[c][1] for c in classes], np.int64)
-        linked = np.bincount(a, members[b], len(classes)) + np.bincount(b, members[a], len(classes))
         for x, y in zip(a.tolist(), b.tolist()):
             p, q = find(x), find(y)
             if p != q:
                 root[max(p, q, key=classes.__getitem__)] = min(p, q, key=classes.__getitem__)
-        out.extend((c, classes[find(k)], int(linked[k])) for k, c in enumerate(classes) if linked[k])
+        near = [classes[find(k)] for k in range(len(classes))]
+        met = np.bincount(a, minlength=len(classes)) + np.bincount(b, minlength=len(classes))
+        if bucket >= 0:
+            first = _first_meeting([rows[c][2] for c in classes], a, b, bucket)
+            a, b = a[first], b[first]
+        members = np.array([rows[c][1] for c in classes], np.int64)
+        linked = np.bincount(a, members[b], len(classes)) + np.bincount(b, members[a], len(classes))
+        out.extend((c, near[k], int(linked[k])) for k, c in enumerate(classes) if met[k])
 
     def flush() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int64())], names=["_class", "_near", "_links"])
+        columns = list(zip(*out)) or [(), (), ()]
         out.clear()
-        return batch
+        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, names=["_class", "_near", "_links"])
 
     for batch in batches:
         column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
         for r in range(batch.num_rows):
-            at = tuple(column[c][r].as_py() for c in ("_component", "_i", "_j"))
+            at = tuple(column[c][r].as_py() for c in ("_group", "_i", "_j", "_at"))
             if at != key:
                 if rows:
                     close()
                 key, rows = at, {}
                 if len(out) > 5000:
                     yield flush()
-            c = column["_class"][r].as_py()
-            if c not in rows:
-                words = words_of(column["_text"][r].as_py() or "")
-                if words and _class_of(words) == c:  # an id that repeats may bring another text
-                    rows[c] = (column["_tile"][r].as_py(), column["_members"][r].as_py(), ngrams(words))
+            grams = ngrams(words_of(column["_text"][r].as_py()))
+            rows[column["_class"][r].as_py()] = (*(column[c][r].as_py() for c in ("_tile", "_members", "_places")), grams)
     if rows:
         close()
     yield flush()
     tidy(_hashes)
 
 
-def join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, class_id, n_links, exact_id, exact_size.
+PLACES = "array<struct<at:int,band:bigint>>"
 
-    class_id: smallest id reachable over links of similarity >= 0.8; exact_id and exact_size: the
-    same for equal word sequences; n_links: other documents linked directly, copies included.
-    """
-    small_batches(docs.sparkSession)
+
+def _tiled(n: Column) -> Column:
+    return F.ceil(n / TILE).cast("int")
+
+
+def _groups(classes: DataFrame, buckets: DataFrame, maybe: DataFrame, n_classes: int, scratch: Scratch) -> DataFrame:
+    """Where each candidate class goes: _class, _group, _at (the bucket's band, -1 for a component), _tiles, _tile, _places."""
+    sizes = maybe.groupBy("root").agg(F.count("*").alias("_n"))
+    maybe = scratch.save(join_groups(maybe, sizes, "root", "_n", n_classes), "candidates")
+    tile = lambda n: F.pmod(F.xxhash64("_class", "_group"), _tiled(n)).cast("int").alias("_tile")
+    whole = maybe.select(F.col("node").alias("_class"), F.xxhash64("root").alias("_group"), F.lit(-1).alias("_at"), _tiled(F.col("_n")).alias("_tiles"), "_n", "root")
+    large = whole.filter(F.col("_n") > TILE)
+    if not large.limit(1).count():
+        return whole.select("_class", "_group", "_at", "_tiles", tile(F.col("_n")), F.lit(None).cast(PLACES).alias("_places"))
+    placed = classes.select("_class", F.posexplode("_bands").alias("at", "band")).join(buckets.select(F.col("_band").alias("band")), "band")
+    placed = scratch.save(placed.join(large.select("_class", "root", "_n"), "_class"), "places")
+    # Buckets of the same classes count once; the two sums of hashes name the set of classes.
+    same = [F.bit_xor(F.xxhash64("_class", F.lit(k))) for k in (1, 2)]
+    used = placed.groupBy("root", "_n", "at", "band").agg(F.count("*").alias("_b"), same[0].alias("_s"), same[1].alias("_t"))
+    used = used.groupBy("root", "_n", "_b", "_s", "_t").agg(F.min(F.struct("at", "band")).alias("_place"))
+    used = scratch.save(used.select("root", "_n", "_b", "_place.at", "_place.band"), "buckets")
+    moved = used.groupBy("root", "_n").agg(F.sum(F.col("_b") * F.ceil(F.col("_b") / TILE)).alias("_moved"))
+    apart = scratch.save(moved.filter(F.col("_moved") < F.col("_n") * F.ceil(F.col("_n") / TILE)).select("root", F.lit(True).alias("_apart")), "apart")
+    kept = used.join(apart, "root").select("band", "_b")
+    placed = scratch.save(placed.select("_class", "at", "band").join(kept, "band"), "kept")
+    places = placed.groupBy("_class").agg(F.collect_list(F.struct("at", "band")).alias("_places"))
+    parted = placed.join(places, "_class").withColumn("_group", F.col("band"))
+    parted = parted.select("_class", "_group", F.col("at").alias("_at"), _tiled(F.col("_b")).alias("_tiles"), tile(F.col("_b")), "_places")
+    whole = whole.join(apart, "root", "left").filter("_apart is null")
+    return whole.select("_class", "_group", "_at", "_tiles", tile(F.col("_n")), F.lit(None).cast(PLACES).alias("_places")).unionByName(parted)
+
+
+def _texts_of(texts: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """_class, _text: a text of each class. Only rows with a class's own smallest id move, combined before they do."""
+    own = F.xxhash64("_class", "_id")
+    filter_, bits = key_filter(classes.select("_class", F.col("_rep").alias("_id")), own, classes.count())
+    filter_ = scratch.save(filter_, "filter")
+    keyed = texts.select("_id", "_text", class_hash(F.col("_text")).alias("_class")).filter("_class is not null")
+    return with_membership(keyed, own, filter_, bits, "_maybe").filter("_maybe").groupBy("_class").agg(F.first("_text").alias("_text"))
+
+
+def _decide(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Signed rows (_id, _class), and per class: _rep, _members, _links, class_id, _best (is the class that stays), _n classes."""
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    signed = scratch.save(texts.mapInArrow(_sign, T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_class", T.StringType()), T.StructField("_bands", T.ArrayType(T.LongType()))])), "signed")
-    classes = signed.filter("_class is not null").groupBy("_class").agg(F.min("_id").alias("_rep"), F.count("*").alias("_members"), F.first("_bands").alias("_bands"))
-    classes = scratch.save(classes, "classes")
+    fields = [T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_class", T.StringType()), T.StructField("_bands", T.ArrayType(T.LongType()))]
+    signed = scratch.save(texts.mapInArrow(_sign, T.StructType(fields)), "signed")
+    classes = signed.filter("_class is not null").groupBy("_class")
+    classes = scratch.save(classes.agg(F.min("_id").alias("_rep"), F.count("*").alias("_members"), F.first("_bands").alias("_bands")), "classes")
+    n_classes = classes.count()
     placed = classes.select("_class", F.explode("_bands").alias("_band"))
-    buckets = scratch.save(placed.groupBy("_band").agg(F.min("_class").alias("v"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "buckets")
+    buckets = placed.groupBy("_band").agg(F.min("_class").alias("v"), F.count("*").alias("_n")).filter("_n > 1")
+    buckets = scratch.save(buckets.drop("_n"), "buckets")
     edges = placed.join(buckets, "_band").select(F.col("_class").alias("u"), "v")
-    maybe = connected_components(edges, scratch)
-    sizes = maybe.groupBy("root").agg(F.count("*").alias("_n"))
-    n_classes = classes.count()
-    maybe = join_groups(maybe, sizes, "root", "_n", n_classes)
-    tiles = F.ceil(F.col("_n") / TILE).cast("int")
-    maybe = maybe.select(F.col("node").alias("_class"), F.col("root").alias("_component"), tiles.alias("_tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("_tile"))
-    wanted = scratch.save(maybe.join(classes.select("_class", "_rep", "_members"), "_class").withColumnRenamed("_rep", "_id"), "wanted")
-    met = keep_matches(texts.filter("_id is not null"), "_id", wanted.filter("_id is not null"), scratch)
+    groups = scratch.save(_groups(classes, buckets, connected_components(edges, scratch), n_classes, scratch), "groups")
+    wanted = scratch.save(classes.join(groups.select("_class").distinct(), "_class", "left_semi").select("_class", "_rep", "_members"), "wanted")
+    met = _texts_of(texts, wanted, scratch).join(wanted.select("_class", "_members"), "_class").join(groups, "_class")
     met = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    met = met.select("_component", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"), "_tile", "_class", "_members", "_text")
-    group = ["_component", "_i", "_j"]
-    found = met.repartition(*group).sortWithinPartitions(*group).mapInArrow(_verify, "_class string, _near string, _links bigint")
-    found = scratch.save(found, "links")
+    met = met.withColumn("_i", F.least("_tile", "_other")).withColumn("_j", F.greatest("_tile", "_other"))
+    # The groups of a component lie side by side, so a large one is spread evenly.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = F.col("_j").cast("bigint") * (F.col("_j") + 1) / 2 + F.col("_i")
+    task = F.pmod(F.pmod(F.col("_group"), F.lit(parts)) + number.cast("bigint"), F.lit(parts)).cast("int")
+    met = met.select("_group", "_i", "_j", "_at", "_tile", "_class", "_members", "_places", "_text", task.alias("_task"))
+    dealt = met.repartitionById(parts, "_task").drop("_task").sortWithinPartitions("_group", "_i", "_j")
+    found = scratch.save(dealt.mapInArrow(_verify, "_class string, _near string, _links bigint"), "verified")
     links = found.groupBy("_class").agg(F.sum("_links").alias("_links"))
     near = connected_components(found.select(F.col("_class").alias("u"), F.col("_near").alias("v")), scratch)
     near = near.select(F.col("node").alias("_class"), F.col("root").alias("_root"))
-    own = scratch.save(classes.select("_class", "_rep", "_members").join(links, "_class", "left").join(near, "_class", "left").withColumn("_root", F.coalesce("_root", "_class")), "nearest")
-    least = own.groupBy("_root").agg(F.min("_rep").alias("class_id"), F.count("*").alias("_n"))
-    own = scratch.save(join_groups(own, least, "_root", "_n", n_classes).drop("_n"), "decided")
-    total = signed.count()
-    met = join_groups(signed.filter("_class is not null").select("_id", "_class"), own.drop("_root"), "_class", "_members", total)
-    out = met.select(F.col("_id").alias(id_col), "class_id", (F.coalesce("_links", F.lit(0)) + F.col("_members") - 1).alias("n_links"), F.col("_rep").alias("exact_id"), F.col("_members").alias("exact_size"))
-    alone = signed.filter("_class is null").select(F.col("_id").alias(id_col), F.col("_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("_id").alias("exact_id"), F.lit(1).cast("bigint").alias("exact_size"))
+    own = classes.select("_class", "_rep", "_members").join(links, "_class", "left").join(near, "_class", "left")
+    own = scratch.save(own.withColumn("_root", F.coalesce("_root", "_class")), "nearest")
+    first = F.min(F.struct(F.col("_rep").isNull().alias("none"), F.col("_rep").alias("id"), F.col("_class").alias("key")))
+    least = own.groupBy("_root").agg(first.alias("_least"), F.count("*").alias("_n"))
+    own = join_groups(own, least, "_root", "_n", n_classes).withColumn("class_id", F.col("_least.id"))
+    own = own.withColumn("_best", F.col("_class") == F.col("_least.key")).drop("_least", "_root")
+    return signed.select("_id", "_class"), scratch.save(own, "decided")
+
+
+def join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, class_id, n_links, exact_id, exact_size.
+
+    class_id: smallest id reachable over links of similarity >= 0.8; exact_id and exact_size: the
+    same for equal word sequences; n_links: other documents linked directly, copies included.
+    """
+    signed, own = _decide(docs, scratch, id_col, text_col)
+    met = join_groups(signed.filter("_class is not null"), own, "_class", "_members", signed.count())
+    links = F.coalesce("_links", F.lit(0)) + F.col("_members") - 1
+    out = met.select(F.col("_id").alias(id_col), "class_id", links.alias("n_links"), F.col("_rep").alias("exact_id"), F.col("_members").alias("exact_size"))
+    same, none, one = F.col("_id"), F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    alone = signed.filter("_class is null").select(same.alias(id_col), same.alias("class_id"), none.alias("n_links"), same.alias("exact_id"), one.alias("exact_size"))
     return out.unionByName(alone)
 
 
 def dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay: of each near-duplicate class those with the smallest id. Texts of rows that surely stay don't shuffle."""
-    decided = join(docs, scratch, id_col, text_col)
-    gone = scratch.save(decided.filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct(), "gone")
-    return drop_matches(docs, id_col, gone, scratch)
+    """One row of each near-duplicate class: of its smallest id (nulls last) and, where that id stands at several of its
+    texts, of one text. Rows without words all stay. Only rows of classes with other rows, by a bitmap filter, may shuffle."""
+    signed, own = _decide(docs, scratch, id_col, text_col)
+    several = scratch.save(own.filter("_members > 1 or _n > 1").select("_class", "_rep", "_best", "_members"), "several")
+    filter_, bits = key_filter(several, F.col("_class"), several.count())
+    filter_ = scratch.save(filter_, "filter")
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row")
+    packed = docs.select(row, docs[f"`{id_col}`"].alias("_id"), class_hash(docs[f"`{text_col}`"]).alias("_class"))
+    flagged = with_membership(packed, F.col("_class"), filter_, bits, "_maybe")
+    met = join_groups(flagged.filter("_maybe").drop("_maybe"), several, "_class", "_members", signed.count())
+    stays = met.filter(F.col("_best") & F.col("_id").eqNullSafe(F.col("_rep"))).groupBy("_class").agg(F.first("_row").alias("_row"))
+    passed = flagged.filter("not _maybe").select("_row").unionByName(met.filter("_best is null").select("_row"))
+    return passed.unionByName(stays.select("_row")).select("_row.*")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
