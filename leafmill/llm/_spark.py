@@ -7,8 +7,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,24 +110,39 @@ class Scratch:
                 delete_path(self.spark, path)
 
 
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no taken one is alike whatever the case."""
+    known, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def global_row_number(df: DataFrame, order: list[Column], scratch: Scratch, name: str = "row_number") -> DataFrame:
     """Number all rows from 0 in the given total order, without gathering them in one task.
 
     Range partitions are sorted and written once; each row keeps its place in its partition, and
     one row per partition carries the partition's offset. Rows that tie in ``order`` get
-    consecutive numbers, in any order among themselves.
+    consecutive numbers, in any order among themselves; they are spread by their place in the
+    input, so that ties of any number don't meet in one partition. A column called ``name`` is
+    replaced, all others stay.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    df = df.drop(name)
+    uid, place, part_, n, offset = free_names([*df.columns, name], "_uid", "_place", "_part", "_n", "_offset")
+    ranked = df.withColumn(uid, F.monotonically_increasing_id())
+    order = [*order, F.col(uid).asc()]
+    placed = ranked.repartitionByRange(*order).sortWithinPartitions(*order).drop(uid).withColumn(place, F.monotonically_increasing_id())
     placed = scratch.save(placed, "ranged")
-    part = F.shiftright("_place", 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    from pyspark.sql import Window
-
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    part = F.shiftright(place, 33)
+    sizes = placed.groupBy(part.alias(part_)).agg(F.count("*").alias(n))
+    before = Window.orderBy(part_).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(part_, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
     # one row per partition of the table: bounded by the number of partitions
-    out = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return out.withColumn(name, F.col("_offset") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_place", "_offset")
+    out = placed.withColumn(part_, part).join(F.broadcast(offsets), part_)
+    number = F.col(offset) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), number.alias(name))
 
 
 def join_small(rows: DataFrame, side: DataFrame, on: list[str] | str, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -185,23 +201,3 @@ def key_filter(keys: DataFrame, key: Column, n: int, hashes: int = 2) -> tuple[D
     bits = filter_bits(n)
     cells = keys.select(F.explode(F.array(*(cell(key, k, bits) for k in range(hashes)))).alias("cell"))
     return bitmap(cells), bits
-
-
-def drop_matches(rows: DataFrame, on: str, keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows of ``rows`` whose ``on`` isn't in ``keys``. Only rows that may match, by a bitmap filter, shuffle."""
-    filter_, bits = key_filter(keys, F.col(on), keys.count())
-    filter_ = scratch.save(filter_, "filter")
-    packed = rows.select(F.struct(*(rows[f"`{c}`"] for c in rows.columns)).alias("_row"), rows[on].alias(on))
-    flagged = with_membership(packed, F.col(on), filter_, bits, "_maybe")
-    passed = flagged.filter("not _maybe").select("_row")
-    kept = flagged.filter("_maybe").join(keys, on, "left_anti").select("_row")
-    return passed.unionByName(kept).select("_row.*")
-
-
-def keep_matches(rows: DataFrame, on: str, side: DataFrame, scratch: Scratch) -> DataFrame:
-    """Inner join of ``rows`` to ``side`` on ``on``. Rows that can't match, by a bitmap filter, don't shuffle."""
-    filter_, bits = key_filter(side, F.col(on), side.count())
-    filter_ = scratch.save(filter_, "filter")
-    return with_membership(rows, F.col(on), filter_, bits, "_maybe").filter("_maybe").drop("_maybe").join(side, on)
-
-

@@ -2,10 +2,10 @@
 
 Within a source, documents stand in order of size and id; each expects target / source size
 copies. The prefix sums of these expectations plus one random offset a source cross integers, and
-a document is emitted once for each integer that its own step crosses. Ordering by size makes the
-sample's words follow the target closely; of OFFSETS random offsets each source takes the one whose
-words come nearest to its target, which matters where a few long documents hold many of the words.
-Prefix sums come from global row numbers, so no source, however large, is gathered in one task.
+a document is emitted once for each integer that its own step crosses. After any number of
+documents the copies differ from their expectation by less than one; in order of size, the words
+taken of a source so differ from its target by less than its longest document's. Prefix sums come
+from global row numbers, so no source, however large, is gathered in one task.
 
 Defined cases: a null or empty text has size 0; null sources form one source, last in order; a
 source without words keeps each document once (its rate is 1); rows repeated in id are separate
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._spark import Scratch, global_row_number, join_small
+from ._spark import Scratch, global_row_number, join_groups, join_small, key_filter, with_membership
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating.
@@ -26,8 +26,6 @@ WEIGHTS = (1, 2, 3)
 #: A target is at most so many times its source's size.
 MOST = 3
 SEED = "leafmill-mix-1"
-#: Random offsets drawn for a source, of which one is taken.
-OFFSETS = 16
 
 
 def words(text: Column) -> Column:
@@ -56,48 +54,61 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     return t.withColumn("target", target).select("_source", "docs", "source_size", "target", "first")
 
 
-def offset(key: Column, k: int, seed: str = SEED) -> Column:
-    """The k-th random offset in [0, 1) of a source."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/{k}/"), key)), 1, 8), 16, 10).cast("double") / 4294967296.0
+def offset(key: Column, seed: str = SEED) -> Column:
+    """The random offset in [0, 1) of a source."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), key)), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
 def copies(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """One row per document: _id, _source, _uid, size, source_size, target, copies. Texts don't shuffle."""
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), words(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("_uid"))
-    order = [F.col("_source").isNull().asc(), F.col("_source").asc(), F.col("size").asc(), F.col("_id").asc_nulls_last(), F.col("_uid").asc()]
+    """One row per document: _id, _source, size, source_size, target, copies. Texts don't shuffle."""
+    narrow = docs.select(docs[f"`{id_col}`"].alias("_id"), docs[f"`{source_col}`"].alias("_source"), words(docs[f"`{text_col}`"]).alias("size"))
+    order = [F.col("_source").isNull().asc(), F.col("_source").asc(), F.col("size").asc(), F.col("_id").asc_nulls_last()]
     placed = scratch.save(global_row_number(narrow, order, scratch), "placed")
     targets = scratch.save(source_targets(placed.groupBy("_source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))), "targets")
     key = F.coalesce(F.concat(F.lit("+"), "_source"), F.lit("-"))
     met = join_small(placed.withColumn("_key", key), targets.withColumn("_key", key).drop("_source"), "_key", "inner")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     met = met.withColumn("_rate", rate).withColumn("_i", (F.col("row_number") - F.col("first")).cast("double"))
-    crossed = lambda u: F.least(F.floor((F.col("_i") + 1.0) * F.col("_rate") + u) - F.floor(F.col("_i") * F.col("_rate") + u), F.lit(MOST)).cast("bigint")
-    tried = met.groupBy("_key").agg(F.first("target").alias("target"), *(F.sum(crossed(offset(F.col("_key"), k, seed)) * F.col("size")).alias(f"_{k}") for k in range(OFFSETS)))
-    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"_{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), offset(F.col("_key"), k, seed).alias("u")) for k in range(OFFSETS))))
-    chosen = scratch.save(tried.select("_key", nearest["u"].alias("_u")), "offsets")
-    met = join_small(met, chosen, "_key", "inner")
-    return met.withColumn("copies", crossed(F.col("_u"))).select("_id", "_source", "_uid", "size", "source_size", "target", "copies")
+    u = offset(F.col("_key"), seed)
+    crossed = F.floor((F.col("_i") + 1.0) * F.col("_rate") + u) - F.floor(F.col("_i") * F.col("_rate") + u)
+    met = met.withColumn("copies", F.least(crossed, F.lit(MOST)).cast("bigint"))
+    return met.select("_id", "_source", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The documents, each emitted as often as the mix takes it, with all their columns.
 
-    Rows alike in id, source and size take the mean of their copies, and the remainder goes to
-    some of them, so that the sum is the same; ids that repeat can't crowd a task.
+    Most documents of a source are taken equally often, its usual number; by a bitmap filter only the
+    others' rows shuffle. Rows alike in id, source and size take the mean of their copies, and the
+    remainder goes to some of them, so that the sum is the same; they are numbered globally, so rows
+    that repeat in any number don't meet in one task.
     """
-    counts = copies(docs, scratch, id_col, text_col, source_col, seed)
+    counts = scratch.save(copies(docs, scratch, id_col, text_col, source_col, seed), "copies")
     key = F.md5(F.to_json(F.struct(F.col("_id").cast("string").alias("a"), F.col("_source").alias("b"), F.col("size").alias("c"))))
-    taken = scratch.save(counts.groupBy(key.alias("_key")).agg(F.count("*").alias("_rows"), F.sum("copies").alias("_copies")).filter("_copies > 0"), "taken")
-    keyed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), docs[id_col].alias("_id"), docs[source_col].alias("_source"), words(docs[text_col]).alias("size"))
-    keyed = keyed.select("_row", key.alias("_key"))
-    met = keyed.join(taken, "_key")
-    once = met.filter("_rows = 1").select("_row", F.col("_copies").alias("_n"))
-    # Of rows alike, the r-th takes floor((r + 1) c / n) - floor(r c / n) copies; equal keys mean repeated ids here.
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))) - 1
-    many = met.filter("_rows > 1").withColumn("_r", rank)
-    step = lambda r: F.floor(r * F.col("_copies") / F.col("_rows"))
-    many = many.select("_row", (step(F.col("_r") + 1) - step(F.col("_r"))).alias("_n"))
-    every = once.unionByName(many).filter("_n > 0")
+    name = F.coalesce(F.concat(F.lit("+"), "_source"), F.lit("-")).alias("_name")
+    usual = counts.groupBy(name, "copies").agg(F.count("*").alias("_n")).groupBy("_name").agg(F.max(F.struct("_n", "copies"))["copies"].alias("_usual"))
+    usual = scratch.save(usual, "usual")
+    sums = counts.groupBy(key.alias("_key"), name).agg(F.count("*").alias("_rows"), F.sum("copies").alias("_copies"))
+    odd = join_small(sums, usual, "_name").filter("_copies != _rows * _usual").select("_key", "_rows", "_copies")
+    odd = scratch.save(odd, "odd")
+    filter_, bits = key_filter(odd, F.col("_key"), odd.count())
+    filter_ = scratch.save(filter_, "filter")
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row")
+    keyed = docs.select(row, docs[f"`{id_col}`"].alias("_id"), docs[f"`{source_col}`"].alias("_source"), words(docs[f"`{text_col}`"]).alias("size"))
+    keyed = join_small(keyed.select("_row", key.alias("_key"), name), usual, "_name").drop("_name")
+    flagged = with_membership(keyed, F.col("_key"), filter_, bits, "_maybe")
+    plain = flagged.filter("not _maybe").select("_row", F.col("_usual").alias("_n"))
+    met = join_groups(flagged.filter("_maybe").drop("_maybe"), odd, "_key", "_rows", counts.count())
+    alone = met.filter("_rows is null or _rows = 1").select("_row", F.coalesce("_copies", "_usual").alias("_n"))
+    every = plain.unionByName(alone)
+    if odd.filter("_rows > 1").limit(1).count():
+        # Of rows alike, the r-th takes floor((r + 1) c / n) - floor(r c / n) copies.
+        many = scratch.save(global_row_number(met.filter("_rows > 1"), [F.col("_key").asc()], scratch), "alike")
+        first = many.groupBy("_key").agg(F.min("row_number").alias("_first"), F.count("*").alias("_alike"))
+        many = join_groups(many, first, "_key", "_alike", counts.count()).withColumn("_r", F.col("row_number") - F.col("_first"))
+        step = lambda r: F.floor(r * F.col("_copies") / F.col("_rows"))
+        every = every.unionByName(many.select("_row", (step(F.col("_r") + 1) - step(F.col("_r"))).alias("_n")))
+    every = every.filter("_n > 0")
     return every.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_row.*")
 
 
@@ -123,10 +134,10 @@ n AS (SELECT d.doc_id, d.source, d.size, row_number() OVER (PARTITION BY d.sourc
 x AS (
   SELECT n.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 1.0::DOUBLE END AS rate
   FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source),
-o AS (SELECT source, k, CAST('0x' || substr(md5('leafmill-mix-1/' || CAST(k AS VARCHAR) || '/' || coalesce('+' || source, '-')), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u FROM t, range(16) r(k)),
-y AS (SELECT x.*, o.k, CAST(least(floor((i + 1.0::DOUBLE) * rate + u) - floor(i * rate + u), 3) AS BIGINT) AS copies FROM x JOIN o ON x.source IS NOT DISTINCT FROM o.source),
-b AS (SELECT source, k FROM (SELECT source, k, abs(CAST(sum(copies * size) AS BIGINT) - min(target)) AS off FROM y GROUP BY source, k) QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1),
-c AS (SELECT y.* FROM y JOIN b ON y.source IS NOT DISTINCT FROM b.source AND y.k = b.k)
+o AS (SELECT source, CAST('0x' || substr(md5('leafmill-mix-1/' || coalesce('+' || source, '-')), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u FROM t),
+c AS (
+  SELECT x.*, CAST(least(floor((i + 1.0::DOUBLE) * rate + u) - floor(i * rate + u), 3) AS BIGINT) AS copies
+  FROM x JOIN o ON x.source IS NOT DISTINCT FROM o.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """
 

@@ -7,7 +7,7 @@ at most, and both directions (``permute``, ``restore``) are computable without t
 
 Defined cases: a null text is empty; null ids are numbered last; rows alike in id, size and
 checksum take their numbers in any order among themselves; an empty table gives no rows; extra
-columns stay.
+columns stay, but for those named row_number, shard and slot, which are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, global_row_number
+from ._spark import Scratch, free_names, global_row_number
 
 ROUNDS = 6
 SEED = 20240229
@@ -80,16 +80,18 @@ def row_at(shard: int, slot: int, n: int, shards: int = SHARDS, seed: int = SEED
 
 
 def shard(df: DataFrame, order: list, scratch: Scratch, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Add row_number, shard and slot to the rows of ``df``, numbered in ``order``."""
-    numbered = scratch.save(global_row_number(df, order, scratch), "numbered")
+    """Add row_number, shard and slot to the rows of ``df``, numbered in ``order``; columns of these names are replaced."""
+    numbered = scratch.save(global_row_number(df.drop("shard", "slot"), order, scratch), "numbered")
     n = numbered.count()
 
     @F.pandas_udf("bigint")
     def position(rows: pd.Series) -> pd.Series:
         return pd.Series(permute(rows.to_numpy(), n, seed))
 
-    placed = numbered.withColumn("_position", position("row_number"))
-    return placed.withColumn("shard", (F.col("_position") % shards).cast("int")).withColumn("slot", F.floor(F.col("_position") / shards).cast("bigint")).drop("_position")
+    place = free_names([*numbered.columns, "shard", "slot"], "_position")[0]
+    placed = numbered.withColumn(place, position("row_number"))
+    placed = placed.withColumn("shard", (F.col(place) % shards).cast("int")).withColumn("slot", F.floor(F.col(place) / shards).cast("bigint"))
+    return placed.drop(place)
 
 
 def write_shards(sharded: DataFrame, path: str, shards: int = SHARDS, parts: int = 1) -> None:
