@@ -6,9 +6,10 @@ applied at all its positions, and the lists of the pairs that arise beside them
 Words are then reused from a cache of bounded size, so memory doesn't grow with the input.
 
 The tokenizer file is a parameter. Its content is broadcast (a vocabulary file, not data).
-Supported: the normalizers NFC, whitespace folding and lower case, a split by pattern, byte-level
-symbols, an end-of-word suffix, special tokens taken from the raw text, and no decoder, which
-joins tokens by spaces.
+Supported: the normalizers NFC, whitespace folding and lower case, in this order, a split by pattern
+into words without white space, byte-level symbols, an end-of-word suffix, special tokens taken from
+the raw text, and no decoder, which joins tokens by spaces. A file that asks for anything else is
+refused with a ValueError.
 
 Defined cases: a null text is empty and gives no ids; extra columns stay unless their names are
 those of the columns added; an empty table gives no rows. Texts are encoded whole, a few million
@@ -49,11 +50,39 @@ def byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+#: What a file may ask for, besides its pattern, vocabulary, merges, suffix and special tokens.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
+
+def refuse_unsupported(spec: dict) -> None:
+    """Raise a ValueError that names what of a tokenizer file this encoder would get wrong."""
+    wrong = []
+    model = spec["model"]
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        wrong.append("model")
+    if spec.get("normalizer") != NORMALIZER:
+        wrong.append("normalizer")
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    fits = len(steps) == 2 and all(steps[0].get(k) == v for k, v in SPLIT.items()) and all(steps[1].get(k) == v for k, v in BYTES.items())
+    pattern = steps[0].get("pattern", {}).get("Regex") if fits else None
+    if pattern is None or any(re.search(r"\s", w) for w in regex.findall(pattern, "a b  1 2\n'! ?\t. it's \u00a0x")):
+        wrong.append("pre_tokenizer")
+    if spec.get("decoder") is not None:
+        wrong.append("decoder")
+    if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        wrong.append("added_tokens")
+    if wrong:
+        raise ValueError(f"this tokenizer file's {', '.join(wrong)} isn't supported")
+
+
 class Bpe:
     """A byte-level BPE tokenizer with word ends, read from a tokenizer file's content."""
 
     def __init__(self, content: bytes) -> None:
         spec = json.loads(content)
+        refuse_unsupported(spec)
         model, suffix = spec["model"], spec["model"].get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.tokens = [""] * (1 + max([*self.vocab.values(), *(t["id"] for t in spec["added_tokens"])]))
@@ -71,15 +100,19 @@ class Bpe:
         symbols = byte_symbols()
         self.inner = [self.vocab.get(s, -1) for s in symbols]
         self.final = [self.vocab.get(s + suffix, -1) for s in symbols]
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(pattern).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        # of special tokens that begin alike the longest is taken
+        names = sorted(self.special, key=len, reverse=True)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
         self.cache: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
+    def holds_special(self, text: str) -> bool:
+        return any(t in text for t in self.special)
+
     def words(self, text: str) -> list[str]:
         """Normalised words; special tokens stand among them as they are, after a NUL that no word begins with."""
-        if self.cut is None or "<" not in text:
+        if not self.holds_special(text):
             return self._words(text)
         out: list[str] = []
         for k, part in enumerate(self.cut(text)):
@@ -158,7 +191,7 @@ class Bpe:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. No word spans white space, so texts are cut at it and each distinct chunk is encoded once."""
-        split = [[t] if SEPARATORS(t) or (self.cut is not None and "<|" in t) else t.split() for t in texts]
+        split = [[t] if SEPARATORS(t) or self.holds_special(t) else t.split() for t in texts]
         new = set().union(*split) - self.chunks.keys()
         if len(self.chunks) + len(new) > CACHE_CHUNKS:
             self.chunks.clear()

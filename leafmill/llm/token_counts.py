@@ -4,7 +4,10 @@ A document's pre-tokens are cut into leaves of LEAF pre-tokens (or chunks betwee
 leaves holds the characters and tokens of each subtree. BPE never joins pre-tokens, so a count is
 the sum over pre-tokens. An edit re-encodes from the leaf that holds the text a few characters
 before it up to the first old leaf start after it at which a new pre-token starts too: from
-there on all pre-tokens are the old ones. Only the touched leaves' paths to the root are updated.
+there on all pre-tokens are the old ones. Only the touched leaves' paths to the root are updated. What
+an edit makes is cut into leaves again; where it needs more leaves than it replaces, the sums are
+laid out anew, without encoding anything. Trees are kept as their leaves' characters and tokens, in
+two array columns, and read back from them, so that a later edit encodes its own region only.
 
 Defined cases: a null text is empty; edits beyond the end are clipped to it, and edits apply one
 after the other, each to the text that the former left; extra columns stay unless their names are
@@ -79,15 +82,34 @@ class TokenTree:
             pieces = text.split(" ")
             counts, spaces = list(map(counter.spaced.__getitem__, pieces)), 1
             counts[0] = sum(counter[p] for p in counter.pieces.findall(pieces[0]))
-        leaves = max(1, -(-len(pieces) // LEAF))
-        self.size = 1 << (leaves - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for k in range(0, len(pieces), LEAF):
-            at, part = self.size + k // LEAF, pieces[k : k + LEAF]
-            self.chars[at], self.tokens[at] = sum(map(len, part)) + spaces * (len(part) - (not k)), sum(counts[k : k + LEAF])
+        cuts = range(0, len(pieces), LEAF)
+        parts = [pieces[k : k + LEAF] for k in cuts]
+        self._plant([sum(map(len, p)) + spaces * (len(p) - (not k)) for k, p in enumerate(parts)], [sum(counts[k : k + LEAF]) for k in cuts])
+
+    @classmethod
+    def kept(cls, text: str, leaf_chars: list[int], leaf_tokens: list[int], counter: Counter) -> TokenTree:
+        """The tree of a text from its kept leaves; nothing is encoded."""
+        if sum(leaf_chars) != len(text) or len(leaf_chars) != len(leaf_tokens):
+            raise ValueError("the kept leaves aren't this text's")
+        tree = cls.__new__(cls)
+        tree.text, tree.counter, tree.encoded = text, counter, 0
+        tree._plant(leaf_chars, leaf_tokens)
+        return tree
+
+    def _plant(self, chars: list[int], tokens: list[int]) -> None:
+        """Lay out the leaves that hold characters, and the sums above them."""
+        leaves = [(c, t) for c, t in zip(chars, tokens) if c] or [(0, 0)]
+        self.size = 1 << (len(leaves) - 1).bit_length()
+        empty = [0] * (self.size - len(leaves))
+        self.chars = [0] * self.size + [c for c, _ in leaves] + empty
+        self.tokens = [0] * self.size + [t for _, t in leaves] + empty
         for k in range(self.size - 1, 0, -1):
             self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
 
+    @property
+    def leaves(self) -> tuple[list[int], list[int]]:
+        return self.chars[self.size :], self.tokens[self.size :]
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -119,9 +141,9 @@ class TokenTree:
         shift = len(new) - (end - start)
         self.text = self.text[:start] + new + self.text[end:]
         last, stop = first, begin + self.chars[first]  # the old leaves to replace, and where they end in the old text
-        at, tokens = begin, 0
+        at, made = begin, []
         for m in self.counter.pieces.finditer(self.text, begin):
-            tokens += self.counter[m.group()]
+            made.append((m.end() - at, self.counter[m.group()]))
             self.encoded += 1
             at = m.end()
             while stop < old and (stop < end or stop + shift < at):
@@ -132,10 +154,16 @@ class TokenTree:
         else:
             last, stop = 2 * self.size - 1, old
             at = len(self.text)
-        for leaf in range(first + 1, last + 1):
-            if self.chars[leaf]:
-                self._set(leaf, 0, 0)
-        self._set(first, at - begin, tokens)
+        if at > begin + sum(c for c, _ in made):
+            made.append((at - begin - sum(c for c, _ in made), 0))
+        new = [tuple(map(sum, zip(*made[k : k + LEAF]))) for k in range(0, len(made), LEAF)]
+        if len(new) <= last - first + 1:
+            for k, leaf in enumerate(range(first, last + 1)):
+                self._set(leaf, *(new[k] if k < len(new) else (0, 0)))
+        else:
+            chars, tokens = self.leaves
+            a, b = first - self.size, last + 1 - self.size
+            self._plant(chars[:a] + [c for c, _ in new] + chars[b:], tokens[:a] + [t for _, t in new] + tokens[b:])
 
 
 _counters: dict[str, Counter] = {}
@@ -156,12 +184,23 @@ def routine_edits(text: str) -> list[tuple[int, int, str]]:
     return [(n // 4, n // 4 + 5, "Edit 42's"), (n // 2, n // 2, " inserted"), (n + 13, n + 13, "\n  One more line.")]
 
 
-def count_with_edits(df: DataFrame, vocabulary: bytes, pattern: str, edits_col: str | None = None, text_col: str = "text", keep: tuple[str, ...] | None = None, trees: bool = False) -> DataFrame:
+def count_with_edits(
+    df: DataFrame,
+    vocabulary: bytes,
+    pattern: str,
+    edits_col: str | None = None,
+    text_col: str = "text",
+    keep: tuple[str, ...] | None = None,
+    trees: bool = False,
+    kept_trees: tuple[str, str] | None = None,
+) -> DataFrame:
     """Add n_tokens, n_edited_tokens and n_reencoded (pre-tokens encoded anew for the edits).
 
     ``edits_col`` names a column array<struct<start int, end int, new string>>; without it each
     text gets ``routine_edits``. With ``trees`` the edited text and its tree's leaves are added:
-    edited, leaf_chars and leaf_tokens.
+    edited, leaf_chars and leaf_tokens. ``kept_trees`` names two columns such a call has left: rows
+    that have leaves there are edited from them, and nothing but the edited regions is encoded;
+    rows without are encoded whole. Leaves that aren't the text's raise an error.
     """
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
@@ -173,28 +212,29 @@ def count_with_edits(df: DataFrame, vocabulary: bytes, pattern: str, edits_col:
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, t) for n, t, _ in added)])
 
-    def one(text: str, edits: Iterable, counter: Counter) -> tuple:
-        tree = TokenTree(text, counter)
+    def one(tree: TokenTree, edits: Iterable) -> tuple:
         before = tree.total
         for start, end, new in edits:
             tree.edit(start, end, new)
         out = (before, tree.total, tree.encoded)
-        return (*out, tree.text, tree.chars[tree.size :], tree.tokens[tree.size :]) if trees else out
+        return (*out, tree.text, *tree.leaves) if trees else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(shared.value, pattern)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            given = batch.column(batch.schema.get_field_index(edits_col)) if edits_col else None
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
             rows = []
             for k in range(batch.num_rows):
-                text = texts[k].as_py() or ""
-                edits = routine_edits(text) if given is None else [(e["start"], e["end"], e["new"] or "") for e in given[k].as_py() or ()]
-                rows.append(one(text, edits, counter))
+                text = column(text_col)[k].as_py() or ""
+                given = column(edits_col)[k].as_py() or () if edits_col else None
+                edits = routine_edits(text) if given is None else [(e["start"], e["end"], e["new"] or "") for e in given]
+                leaves = [column(c)[k].as_py() for c in kept_trees] if kept_trees else [None]
+                tree = TokenTree(text, counter) if None in leaves else TokenTree.kept(text, *leaves, counter)
+                rows.append(one(tree, edits))
             made = [pa.array([r[i] for r in rows], a[2]) for i, a in enumerate(added)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *made], names=[*kept, *names])
+            yield pa.RecordBatch.from_arrays([*map(column, kept), *made], names=[*kept, *names])
 
-    return df.select(*dict.fromkeys([*kept, text_col, *([edits_col] if edits_col else [])])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*kept, text_col, *([edits_col] if edits_col else []), *(kept_trees or ())])).mapInArrow(run, schema)
 
 
 def vocabulary(path: str | None = None) -> tuple[bytes, str]:

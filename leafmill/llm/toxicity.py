@@ -44,7 +44,7 @@ DISCOUNT, THRESHOLD, WINDOW, CLEAR = 0.75, 0.3, 10, 2.5
 #: last fits the logistic function, the rest the models.
 HELD_OUT, FIT = 2, 3
 #: Distinct expressions a task holds before it hands them on.
-FLUSH = 400_000
+FLUSH = 150_000
 
 tokens = re.compile(r"[^\W_]+").findall
 

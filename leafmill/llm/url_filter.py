@@ -7,11 +7,13 @@ always decides, so an explicit allow takes precedence over what aliases carry. W
 nor aliases decide is allowed.
 
 A node is a url without scheme and fragment: host, path and query. Rules see its host and path.
-Links are resolved against their page's url. Only DataFrame functions are used.
+All canonical links and refresh redirects of a page count; they are resolved against the page's url
+as RFC 3986 has it, dot segments included. Only DataFrame functions are used.
 
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule and has
-no alias; repeated urls are judged alike, row by row; an empty table gives no rows; extra columns
-stay unless their names are those of the columns added.
+no alias; a link that resolves to such a url is no edge; repeated urls and pages are judged alike,
+row by row, and urls of any length whole; a null html has no links; an empty table gives no rows;
+extra columns stay, but for those named as the columns added, which are replaced.
 """
 
 from __future__ import annotations
@@ -65,19 +67,33 @@ def without_dots(path_: Column) -> Column:
 
 
 def absolute(link: Column, base: Column) -> Column:
-    """A link resolved against its page's url."""
-    scheme, root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    """A link resolved against its page's url; null if that has no host to resolve against."""
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     own, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
     folder = F.coalesce(F.nullif(F.regexp_extract(path(base), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
-    out = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link)).when(root == "", F.lit(None))
-    out = out.when(F.startswith(link, F.lit("/")), F.concat(root, without_dots(own), rest)).when(F.startswith(link, F.lit("#")), F.concat(F.regexp_extract(base, r"(?s)^([^#]*)", 1), link))
-    return out.when(F.startswith(link, F.lit("?")), F.concat(root, path(base), link)).otherwise(F.concat(root, without_dots(F.concat(folder, own)), rest))
+    begins = lambda t: F.startswith(link, F.lit(t))
+
+    def tidy(url: Column) -> Column:
+        top = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+        tail = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1)
+        return F.when(path(url) != "", F.concat(top, without_dots(path(url)), tail)).otherwise(url)
+
+    out = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), tidy(link)).when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+    out = out.when(root == "", F.lit(None)).when(begins("//"), tidy(F.concat(scheme, F.lit(":"), link)))
+    out = out.when(begins("/"), F.concat(root, without_dots(own), rest)).when(begins("#"), F.concat(F.regexp_extract(base, r"(?s)^([^#]*)", 1), link))
+    return out.when(begins("?"), F.concat(root, path(base), link)).otherwise(F.concat(root, without_dots(F.concat(folder, own)), rest))
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) urls from canonical links and refresh redirects in the pages' html."""
-    links = F.array(F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", REFRESH, 1))
-    return pages.select(F.col("url").alias("src"), F.explode(links).alias("_to")).filter("_to != ''").select("src", absolute(F.col("_to"), F.col("src")).alias("dst")).filter("dst is not null")
+    """(src, dst) urls from all canonical links and refresh redirects in the pages' html."""
+    found = [F.regexp_extract_all(F.col("html"), F.lit(pattern), F.lit(1)) for pattern in (CANONICAL, REFRESH)]
+    links = pages.select(F.col("url").alias("src"), F.explode(F.concat(*found)).alias("_to")).filter("_to != ''")
+    links = links.select("src", absolute(F.replace(F.col("_to"), F.lit("&amp;"), F.lit("&")), F.col("src")).alias("dst"))
+    return links.filter("dst is not null")
+
+
+ADDED = ("host", "path", "rule", "verdict", "alias_root")
 
 
 def judge(urls: DataFrame, edges: DataFrame, scratch: Scratch, rules: Sequence[tuple[str, str, str]] = RULES, default: str = "allow", url_col: str = "url") -> DataFrame:
@@ -89,18 +105,26 @@ def judge(urls: DataFrame, edges: DataFrame, scratch: Scratch, rules: Sequence[t
     classes = connected_components(links, scratch)
     # Every node of a class votes, also one that is only a link's target.
     at = F.regexp_extract("node", r"(?s)^([^/?]*)", 1)
-    voted = classes.select("node", "root", rule(at, F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1), rules)["verdict"].alias("v"))
-    votes = voted.groupBy("root").agg(F.bool_or(F.col("v") == "block").alias("_block"), F.bool_or(F.col("v") == "allow").alias("_allow"), F.count("*").alias("_size"))
-    nodes = scratch.save(voted.join(votes, "root").select(F.col("node").alias("_node"), F.col("root").alias("alias_root"), F.when(F.col("_allow"), "allow").when(F.col("_block"), "block").alias("_inherited")), "aliases")
-    own = urls.withColumn("host", host(F.col(url_col))).withColumn("path", path(F.col(url_col))).withColumn("_own", rule(F.col("host"), F.col("path"), rules)).withColumn("_node", node(F.col(url_col)))
+    own_rule = rule(at, F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1), rules)
+    voted = scratch.save(classes.select("node", "root", own_rule["verdict"].alias("v")), "votes")
+    votes = voted.groupBy("root").agg(
+        F.bool_or(F.col("v") == "block").alias("_block"), F.bool_or(F.col("v") == "allow").alias("_allow"), F.count("*").alias("_size")
+    )
+    met = join_groups(voted, votes, "root", "_size", voted.count())
+    inherited = F.when(F.col("_allow"), "allow").when(F.col("_block"), "block")
+    nodes = scratch.save(met.select(F.col("node").alias("_node"), F.col("root").alias("alias_root"), inherited.alias("_inherited")), "aliases")
+    url = urls[f"`{url_col}`"]
+    packed = urls.select(F.struct(*(urls[f"`{c}`"] for c in urls.columns)).alias("_row"), host(url).alias("host"), path(url).alias("path"), node(url).alias("_node"))
+    packed = packed.withColumn("_own", rule(F.col("host"), F.col("path"), rules))
     if nodes.limit(1).count():
-        sizes = own.groupBy("_node").agg(F.count("*").alias("_rows"))
+        sizes = packed.groupBy("_node").agg(F.count("*").alias("_rows"))
         nodes = scratch.save(nodes.join(sizes, "_node"), "sized")
-        met = join_groups(own, nodes, "_node", "_rows", urls.count())
+        met = join_groups(packed, nodes, "_node", "_rows", urls.count())
     else:
-        met = own.withColumn("alias_root", F.lit(None).cast("string")).withColumn("_inherited", F.lit(None).cast("string"))
+        met = packed.withColumn("alias_root", F.lit(None).cast("string")).withColumn("_inherited", F.lit(None).cast("string"))
     verdict = F.coalesce(F.col("_own.verdict"), F.col("_inherited"), F.lit(default))
-    return met.withColumn("rule", F.col("_own.rule")).withColumn("verdict", verdict).drop("_own", "_node", "_inherited", "_rows")
+    stay = [F.col(f"_row.`{c}`") for c in urls.columns if c.lower() not in ADDED]
+    return met.select(*stay, "host", "path", F.col("_own.rule").alias("rule"), verdict.alias("verdict"), "alias_root")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
