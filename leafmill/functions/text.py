@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,37 +107,69 @@ def block_text(c: Column | str, listing: bool = False) -> Column:
 
 #: What may follow the stop of a host that a line wrap cut.
 TOP_LEVELS = ("com", "org", "net", "edu", "gov", "io", "ai", "co", "dev", "app")
-_NEXT = r"(?=[\p{L}\p{N}%._~-])"
-_HEAD = r"(?:https?://|www\.)"
+_HEAD = re.compile(r"(?i)\bhttps?\s*:\s*//\s*(?=\w)|\bwww\.(?=\w)")
+_RUN, _GAP = re.compile(r"\S*"), re.compile(r"\s*")
+_TOP = re.compile(rf"(?i)(?:{'|'.join(TOP_LEVELS)})(?:\b|[/#?])")
+_PART = re.compile(r"(/\s*)?[\w%.~-]")
+
+
+def _goes_on(url: str, gap: str, text: str, at: int) -> int | None:
+    """Where the address continues behind the gap, or None if it ends before it."""
+    part, rest = _PART.match(text, at), url.partition("//")[2] or url
+    if url.endswith(".") and _TOP.match(text, at):
+        return at
+    if part is None:
+        return None
+    slash = part.group(1)
+    if url.endswith("/"):  # a slash on both sides of the gap is one
+        return at + len(slash or "")
+    if slash:
+        return None if "/" in rest else at
+    return at if "\n" in gap and url[-1] in "?#=&-" and url.lower().startswith("http") else None
+
+
+def _rejoined(text: str | None) -> str | None:
+    if text is None:
+        return None
+    out, done = [], 0
+    while (head := _HEAD.search(text, done)) is not None:
+        out.append(text[done : head.start()])
+        url, done = "".join(head.group().split()), head.end()
+        while True:
+            run = _RUN.match(text, done).group()
+            url, done = url + run, done + len(run)
+            gap = _GAP.match(text, done).group()
+            following = _goes_on(url, gap, text, done + len(gap)) if gap else None
+            if following is None:
+                break
+            done = following
+            if text[done] == "/" and (after := _GAP.match(text, done + 1).group()):
+                url, done = url + "/", done + 1 + len(after)
+        out.append(url)
+    return "".join(out) + text[done:]
 
 
 def repair_urls(c: Column | str) -> Column:
     """White space that a line wrap left inside a URL is removed: after the scheme, at a slash, at a line end, before a top-level domain."""
-    t = F.regexp_replace(col(c), r"(?iu)\b(https?):\s*//\s*(?=[\p{L}\p{N}])", "$1://")
-    t = F.regexp_replace(t, rf"(?iu)({_HEAD}\S+/)\s+(?:/\s*)?{_NEXT}", "$1")
-    t = F.regexp_replace(t, rf"(?iu)({_HEAD}[^\s/]+)\s+/\s*{_NEXT}", "$1/")
-    t = F.regexp_replace(t, rf"(?iu)(https?://\S+[/?#=&-])\s*\n\s*{_NEXT}", "$1")
-    return F.regexp_replace(t, rf"(?iu)(https?://\S+\.)\s+(?=(?:{'|'.join(TOP_LEVELS)})(?:\b|[/#?]))", "$1")
+    rejoin = F.pandas_udf(lambda texts: texts.map(_rejoined), "string")
+    return rejoin(col(c))
+
+
+#: What a generated summary holds besides its words, the words themselves as groups.
+SUMMARY_MARKS = r"(?m)\[([^\]]+)\]\([^)]+\)|\*\*([^*]+)\*\*|^\s*(?:[-*•]|\d+[.)])\s+|</?SOURCE(?:_NOTES)?>"
 
 
 def plain_summary(c: Column | str) -> Column:
     """A generated summary without Markdown links, bold, list marks and source tags, as one line."""
-    t = F.regexp_replace(col(c), r"\[([^\]]+)\]\([^)]+\)", "$1")
-    t = F.regexp_replace(t, r"\*\*([^*]+)\*\*", "$1")
-    t = F.regexp_replace(t, r"(?m)^\s*(?:[-*•]|\d+[.)])\s+", "")
-    return collapse(F.regexp_replace(t, r"</?(?:SOURCE|SOURCE_NOTES)>", ""))
-
-
-#: Phrases of an answer that talks about the task instead of doing it.
-META_PHRASES = (
-    r"i(?:'m| am) ready to summarize",
-    r"ready to provide",
-    r"provided source material",
-    r"i(?:'ve| have) analyzed",
-    r"based on these observations",
-    r"here(?:'s| is) (?:a|the) concise summary:",
+    outer = F.regexp_replace(col(c), SUMMARY_MARKS, "$1$2")
+    return collapse(F.regexp_replace(outer, SUMMARY_MARKS, "$1$2"))
+
+
+#: Fixed value: phrases of an answer that talks about the task instead of doing it.
+META = (
+    r"(?iu)\b(?:i(?:'m| am) ready to summarize|ready to provide|provided source material|i(?:'ve| have) analyzed"
+    r"|based on these observations|here(?:'s| is) (?:a|the) concise summary:)(?:\b|(?<=:))"
 )
-META = r"(?iu)\b(?:" + "|".join(META_PHRASES) + r")(?:\b|(?<=:))"
 
 
 def is_meta_response(c: Column | str) -> Column:
@@ -218,7 +252,12 @@ def snippet(content: Column, title: Column, terms: Column, lead: int = 110, size
     return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(end < F.length(text), "…").otherwise(""))
 
 
+def quoted(term: Column) -> Column:
+    """A text as a pattern that matches itself."""
+    return F.regexp_replace(term, r"([^\p{L}\p{N}\s])", r"\\$1")
+
+
 def highlight(text: Column, terms: Column, before: str = "<mark>", after: str = "</mark>") -> Column:
     """Marks around every occurrence of a term, the longest first, whatever the case."""
-    pattern = F.concat(F.lit("(?iu)("), F.array_join(terms, "|"), F.lit(")"))
+    pattern = F.concat(F.lit("(?iu)("), F.array_join(F.transform(terms, quoted), "|"), F.lit(")"))
     return F.when(F.size(terms) > 0, F.regexp_replace(text, pattern, F.lit(f"{before}$1{after}"))).otherwise(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -29,11 +30,6 @@ def compatibility_form(texts: pd.Series) -> pd.Series:
     return texts.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf(T.StringType())
-def composed_form(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
-
-
 def key(surname: Column, year: Column) -> Column:
     name = plain_name(surname)
     return F.when((F.coalesce(name, F.lit("")) != "") & (F.coalesce(year, F.lit("")) != ""), F.concat(name, F.lit(":"), F.lower(year))).otherwise("")
@@ -46,24 +42,49 @@ def author_years(texts: DataFrame, id_cols: list[str], text_col: str = "text") -
     return out.withColumn("key", key(F.col("surname"), F.col("year")))
 
 
-#: Marks that some files set before their letter, the combining mark meant, and the letters it goes with.
-MARKS = (
-    ("´ˊ", "\u0301", "aceilnorsuyz"), ("`ˋ", "\u0300", "aeiou"), ("ˆ^", "\u0302", "aeiou"), ("¨", "\u0308", "aeiouy"), ("˜~", "\u0303", "ano"), ("ˇ", "\u030c", "cdelnrstz"),
-    ("˘", "\u0306", "ag"), ("˙", "\u0307", "cegiz"), ("˚°", "\u030a", "au"), ("¯", "\u0304", "aeiouy"), ("¸", "\u0327", "cst"),
-)
-LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
+#: The combining mark that a spacing mark before a letter stands for.
+COMBINING = {
+    "´": "\u0301", "ˊ": "\u0301", "`": "\u0300", "ˋ": "\u0300", "ˆ": "\u0302", "^": "\u0302", "¨": "\u0308", "˜": "\u0303", "~": "\u0303",
+    "ˇ": "\u030c", "˘": "\u0306", "˙": "\u0307", "˚": "\u030a", "°": "\u030a", "¯": "\u0304", "¸": "\u0327",
+}
+#: The letters that each combining mark goes with.
+LETTERS = {
+    "\u0301": "aceilnorsuyz", "\u0300": "aeiou", "\u0302": "aeiou", "\u0308": "aeiouy", "\u0303": "ano", "\u030c": "cdelnrstz",
+    "\u0306": "ag", "\u0307": "cegiz", "\u030a": "au", "\u0304": "aeiouy", "\u0327": "cst",
+}
+#: Ligatures, letters that elide before an apostrophe, and the ends of words that lose their W.
+LIGATURES = "ﬀﬁﬂﬃﬄ"
+ELIDED, AFTER_ELISION = "cdjlstn", "aeiouyh"
+W_ENDS = ("hat", "hen", "here", "hich", "hile", "ho", "hom", "hy", "ith", "ould")
+
+
+def _repairs() -> re.Pattern:
+    """All that is repaired, as one pattern: each place of a text is looked at once."""
+    either = "|".join(f"{re.escape(m)}\\s*[{LETTERS[c]}]" for m, c in COMBINING.items())
+    elision = f"(?<=[{ELIDED}])´(?=[{AFTER_ELISION}])"
+    split = rf"\b(?-i:[Ww])\s+(?-i:{'|'.join(W_ENDS)})\b"
+    apart = "(?<=[A-Za-zÀ-ÖØ-öø-ÿ])\\s+(?=[\u0300-\u036f])"
+    return re.compile(rf"(?i)\u00ad|[{LIGATURES}]|{elision}|{split}|{either}|{apart}")
 
 
-def typography(c: Column) -> Column:
+REPAIRS = _repairs()
+
+
+def _repaired(match: re.Match) -> str:
+    found = match.group()
+    if found == "\u00ad" or found.isspace():
+        return ""
+    if found == "´":
+        return "’"
+    if found[0] in COMBINING:
+        return found[-1] + COMBINING[found[0]]
+    return unicodedata.normalize("NFKC", found) if found in LIGATURES else "".join(found.split())
+
+
+@F.pandas_udf(T.StringType())
+def typography(texts: pd.Series) -> pd.Series:
     """Soft hyphens out, ligatures as letters, apostrophes and split words with W repaired, marks on their letters, composed form."""
-    t = F.replace(c, F.lit("\u00ad"), F.lit(""))
-    for a, b in LIGATURES:
-        t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(t, r"(?iu)([cdjlstn])´(?=[aeiouyh])", "$1’")
-    t = F.regexp_replace(t, r"\b([Ww])\s+(hat|hen|here|hich|hile|ho|hom|hy|ith|ould)\b", "$1$2")
-    for marks, combining, letters in MARKS:
-        t = F.regexp_replace(t, rf"(?i)[{marks.replace('^', chr(92) + '^')}]\s*([{letters}])", "$1" + combining)
-    return composed_form(F.regexp_replace(t, r"([A-Za-zÀ-ÖØ-öø-ÿ])\s+([\u0300-\u036f])", "$1$2"))
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", REPAIRS.sub(_repaired, t)))
 
 
 def bibliography_flag(passages: DataFrame) -> DataFrame:

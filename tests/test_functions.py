@@ -149,3 +149,25 @@ def test_summaries_and_urls(value):
     assert not value(tx.is_meta_response(F.lit("Cats purr.")))
     assert value(tx.repair_urls(F.lit("see https: //a.org/ x and https://b. com"))) == "see https://a.org/x and https://b.com"
     assert value(tx.phoneme_text(F.lit("“a”—b (c)…"))) == '"a", b , c, ...'
+
+
+def test_highlight_takes_terms_as_they_are(spark):
+    value = lambda c: spark.range(1).select(c.alias("v")).first()[0]
+    terms = F.array(F.lit("c++"), F.lit("(x"))
+    assert value(tx.highlight(F.lit("C++ and (x) in c"), terms)) == "<mark>C++</mark> and <mark>(x</mark>) in c"
+
+
+def test_urls_cut_by_line_wraps(spark):
+    value = lambda c: spark.range(1).select(c.alias("v")).first()[0]
+    cases = {
+        "a https://x.org /p/ q b": "a https://x.org/p/q b",
+        "https://x.org/a?b=\nc d": "https://x.org/a?b=c d",
+        "https://x.org/a-\nb": "https://x.org/a-b",
+        "www.x. org/p and": "www.x.org/p and",
+        "https : // x.org ends. Then": "https://x.org ends. Then",
+        "no links / here": "no links / here",
+        "https://x.org/ / y": "https://x.org/y",
+    }
+    for text, want in cases.items():
+        assert value(tx.repair_urls(F.lit(text))) == want, text
+    assert value(tx.repair_urls(F.lit(None).cast("string"))) is None
