@@ -87,16 +87,23 @@ def typography(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", REPAIRS.sub(_repaired, t)))
 
 
+#: How a list of references is headed, with a section number or without, and how its numbered entries start.
+REFERENCES = r"(?i)^\s*(?:\d+(?:\.\d+)*\.?\s+)?(?:references|bibliography|works cited|notes|endnotes)\s*:?\s*$"
+ENTRY = r"^\s*(?:\[(\d{1,3})\]|(\d{1,3})[.)]?)\s+\S"
+
+
 def bibliography_flag(passages: DataFrame) -> DataFrame:
     """in_references: whether a references heading stands at or before the passage."""
-    heading = F.col("text").rlike(r"(?i)^\s*(?:\d+\.?\s+)?(?:references|bibliography|works cited)\s*$")
+    heading = F.col("text").rlike(REFERENCES)
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return passages.withColumn("in_references", F.max(F.coalesce(heading, F.lit(False))).over(w))
 
 
 def reference_numbers(passages: DataFrame) -> DataFrame:
-    """Numbered entries of the bibliography: doc_id, number, pos."""
-    return passages.filter("in_references").select("doc_id", "pos", F.regexp_extract("text", r"^\s*\[?(\d{1,3})[\].]\s", 1).alias("number")).filter("number != ''")
+    """Numbered entries of the bibliography, not its headings: doc_id, number, pos."""
+    entries = passages.filter("in_references").filter(~F.col("text").rlike(REFERENCES))
+    number = F.concat(F.regexp_extract("text", ENTRY, 1), F.regexp_extract("text", ENTRY, 2))
+    return entries.select("doc_id", "pos", number.alias("number")).filter("number != ''")
 
 
 def tail_numbers(candidates: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, layout_queries, text_queries
+from . import article_queries, corpus_queries, layout_queries, text_queries
 
-MODULES = (text_queries, corpus_queries, layout_queries)
+MODULES = (text_queries, corpus_queries, layout_queries, article_queries)
 
 
 def queries() -> dict:
