@@ -65,11 +65,16 @@ def small_batches(spark: SparkSession) -> None:
 
 def tidy(*caches: dict) -> None:
     """At a task's end: a worker lives on for tasks of other stages, which shouldn't find its memory taken."""
+    import ctypes
+
     import pyarrow as pa
 
     for cache in caches:
         cache.clear()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # freed memory goes back to the system where the C library can
+    if trim is not None:
+        trim(0)
 
 
 def new_path(spark: SparkSession, tag: str) -> str:

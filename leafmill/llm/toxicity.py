@@ -43,8 +43,10 @@ DISCOUNT, THRESHOLD, WINDOW, CLEAR = 0.75, 0.3, 10, 2.5
 #: Labels of rows with this remainder of crc32(id) by 4 are never learned from; the other remainders'
 #: last fits the logistic function, the rest the models.
 HELD_OUT, FIT = 2, 3
+#: Rows of the models' tables that come to the driver at once.
+SLICE = 200_000
 #: Distinct expressions a task holds before it hands them on.
-FLUSH = 150_000
+FLUSH = 100_000
 
 tokens = re.compile(r"[^\W_]+").findall
 
@@ -77,6 +79,7 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out()
     if seen:
         yield out()
+    tidy()
 
 
 class Model:
@@ -157,15 +160,15 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
     corpus = scratch.save(corpus_counts(texts), "corpus-words")
     whole = corpus.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).first()
     words = scratch.save(words.join(corpus, "w").withColumn("_word", F.monotonically_increasing_id()), "words")
-    table = words.select("w", "n0", "n1", "n", "_word").toArrow().sort_by("_word")
-    place = table["_word"].to_numpy()
-    vocabulary = {w: k + 2 for k, w in enumerate(table["w"].to_pylist())}
+    place, counted, names = _columns(words, ["_word"], ["n0", "n1", "n"], "w")
+    vocabulary = {w: k + 2 for k, w in enumerate(names.to_pylist())}
+    del names
     size = len(vocabulary) + 2
     counts = np.zeros((2, size))
-    counts[0, 2:], counts[1, 2:] = table["n0"].to_numpy(), table["n1"].to_numpy()
+    counts[:, 2:] = counted[:2]
     shared = np.zeros(size)
-    shared[2:] = table["n"].to_numpy()
-    del table
+    shared[2:] = counted[2]
+    place = place[0]
     backoff = (shared + 0.5) / (whole.n + 0.5 * (whole.kinds + 1))
     total = np.array([totals.t0, totals.t1], float)
     kinds = np.array([types[0], types[1]], float)
@@ -177,15 +180,21 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
     mass = np.ones((2, size))
     at = numbers(contexts["_before"].to_numpy())
     mass[0, at], mass[1, at] = np.maximum(contexts["m0"].to_numpy(), 1), np.maximum(contexts["m1"].to_numpy(), 1)
-    pairs = grams.join(words.select("w", "_word"), "w").join(after, "v").select("_before", "_word", "c0", "c1").toArrow()
-    v, w = numbers(pairs["_before"].to_numpy()), numbers(pairs["_word"].to_numpy())
-    order = np.argsort(v * size + w)
-    v, w = v[order], w[order]
-    seen = np.maximum(np.array([pairs["c0"].to_numpy()[order], pairs["c1"].to_numpy()[order]], float) - DISCOUNT, 0) / mass[:, v]
-    rest = np.ones((2, size))
+    pairs = scratch.save(grams.join(words.select("w", "_word"), "w").join(after, "v").select("_before", "_word", F.col("c0").cast("int"), F.col("c1").cast("int")), "pairs")
+    ends, times, _ = _columns(pairs, ["_before", "_word"], ["c0", "c1"])
+    keys = numbers(ends[0]) * size + numbers(ends[1])
+    del ends
+    order = np.argsort(keys)
+    keys, times = keys[order], times[:, order]
+    del order
+    v = keys // size
+    seen, rest = np.empty((2, len(keys))), np.ones((2, size))
     for k in (0, 1):
+        np.subtract(times[k], DISCOUNT, out=seen[k])
+        np.maximum(seen[k], 0, out=seen[k])
+        seen[k] /= mass[k][v]
         rest[k] -= np.bincount(v, seen[k], size)
-    keys = v * size + w
+    del times, v
     if not len(keys):
         keys, seen = np.array([-1]), np.zeros((2, 1))
     model = Model(vocabulary, uni, keys, seen, np.maximum(rest, 1e-6))
@@ -196,6 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
         m = shared_model.value
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([m.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
+        tidy()
 
     rows = fit.select("_text", "toxic").mapInArrow(features, "x array<double>, toxic int").toPandas().sort_values(["toxic", "x"], key=lambda s: s.map(str)).reset_index(drop=True)
     if rows["toxic"].nunique() < 2:
@@ -206,6 +216,33 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
     return model
 
 
+def _columns(table: DataFrame, keys: list[str], counts: list[str], text: str | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
+    """Columns of a saved table: the keys, the counts, and the text; with a text in order of the first key.
+
+    They come in slices of about SLICE rows, so that neither the driver's JVM nor Python holds the whole table twice.
+    """
+    slices = max(1, -(-table.count() // SLICE))
+    part = F.pmod(F.xxhash64(*keys), F.lit(slices))
+    ids: list[list[np.ndarray]] = [[] for _ in keys]
+    numbers: list[list[np.ndarray]] = [[] for _ in counts]
+    texts: list[pa.Array] = []
+    for k in range(slices):
+        got = table.filter(part == k).select(*keys, *counts, *([text] if text else [])).toArrow()
+        for own, c in zip(ids, keys):
+            own.append(got[c].to_numpy())
+        for own, c in zip(numbers, counts):
+            own.append(got[c].to_numpy())
+        if text:
+            texts += got[text].chunks
+        del got
+        pa.default_memory_pool().release_unused()
+    whole, sums = np.array([np.concatenate(own) for own in ids]), np.array([np.concatenate(own) for own in numbers])
+    if not text:
+        return whole, sums, None
+    order = np.argsort(whole[0])
+    return whole[:, order], sums[:, order], pa.chunked_array(texts, pa.string()).combine_chunks().take(pa.array(order))
+
+
 def has_words(k: int) -> F.Column:
     """Distinct words of class k."""
     return F.count(F.when(F.col(f"n{k}") > 0, 1))
