@@ -155,31 +155,54 @@ def build_graph(x: np.ndarray, seed: int) -> list[np.ndarray]:
     return [np.array(sorted(a), np.int64) for a in out]
 
 
-def search(x: np.ndarray, lists: list[np.ndarray], medoid: int, q: np.ndarray, own: int | None) -> np.ndarray:
-    """Rows of x of cosine >= RANGE to q that the range-expanding greedy search reaches."""
+def adjacency(lists: list[np.ndarray]) -> np.ndarray:
+    """The lists as rows of one table, filled up with the row's own node."""
+    most = max(1, *map(len, lists)) if lists else 1
+    table = np.repeat(np.arange(len(lists))[:, None], most, axis=1)
+    for k, near in enumerate(lists):
+        table[k, : len(near)] = near
+    return table
+
+
+def search(x: np.ndarray, near: np.ndarray, medoid: int, q: np.ndarray, own: int | None) -> np.ndarray:
+    """Rows of x of cosine >= RANGE to q that the range-expanding greedy search reaches.
+
+    Nodes within the range are expanded all at once, since each of them will be; the others one at
+    a time, nearest first, until the nearest isn't among the BEAM nearest seen.
+    """
     seen = np.zeros(len(x), bool)
-    start = [medoid] if own is None or own == medoid else [medoid, own]
-    sims = x[start] @ q
-    seen[start] = True
-    best = [(-s, p) for s, p in zip(sims.tolist(), start)]
-    heapq.heapify(best)
-    found = dict(zip(start, sims.tolist()))
-    beam = sorted(sims.tolist(), reverse=True)
-    while best:
-        s, p = heapq.heappop(best)
-        if -s < RANGE and len(beam) >= BEAM and -s < beam[BEAM - 1]:
-            break
-        new = lists[p][~seen[lists[p]]]
-        if not len(new):
-            continue
+    new = np.array([medoid] if own is None or own == medoid else [medoid, own])
+    beam: list[float] = []
+    ahead: list[tuple[float, int]] = []
+    found = []
+    while True:
         seen[new] = True
-        for t, r in zip((x[new] @ q).tolist(), new.tolist()):
-            if t >= RANGE or len(beam) < BEAM or t > beam[-1]:
-                found[r] = t
-                heapq.heappush(best, (-t, r))
-                if len(beam) < BEAM or t > beam[-1]:
-                    beam = sorted([*beam, t], reverse=True)[:BEAM]
-    return np.array([r for r, t in found.items() if t >= RANGE], np.int64)
+        sims = x[new] @ q
+        within = sims >= RANGE
+        wide = new[within]
+        found.append(wide)
+        rest, low = new[~within], sims[~within]
+        if len(low) > BEAM:
+            top = np.argpartition(-low, BEAM - 1)[:BEAM]
+            rest, low = rest[top], low[top]
+        for s, p in zip(low.tolist(), rest.tolist()):
+            if len(beam) < BEAM or s > beam[-1]:
+                heapq.heappush(ahead, (-s, p))
+        beam = sorted([*beam, *np.sort(sims)[-BEAM:].tolist()], reverse=True)[:BEAM]
+        new = wide[:0]
+        if len(wide):
+            fresh = np.zeros(len(x), bool)
+            fresh[near[wide].ravel()] = True
+            new = np.flatnonzero(fresh & ~seen)
+        while not len(new):
+            if not ahead:
+                return np.concatenate(found)
+            s, p = heapq.heappop(ahead)
+            if len(beam) >= BEAM and -s < beam[-1]:
+                return np.concatenate(found)
+            new = near[p][~seen[near[p]]]
+            if len(new) > 1:
+                new = np.unique(new)
 
 
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
@@ -208,19 +231,39 @@ class Side:
         self.shards = np.array([shards[k] + shards[k][:1] * (most - len(shards[k])) for k in order], np.int64)
         place = {v: k for k, v in enumerate(self.nodes.tolist())}
         near = table["_near"].to_pylist()
-        self.lists = [np.array([place[v] for v in near[k] or () if v in place], np.int64) for k in order]
+        self.near = adjacency([np.array([place[v] for v in near[k] or () if v in place], np.int64) for k in order])
         self.medoid = int(np.argmax(self.x @ self.x.mean(axis=0)))
 
     def found(self, q: np.ndarray, own: bool, exact: bool) -> np.ndarray:
         """Whether row k of q and row j of this side are linked, as far as the search sees; ``own``: q is this side's."""
         hit = np.zeros((len(q), len(self.x)), bool)
         for k in range(len(q)):
-            got = np.arange(len(self.x)) if exact else search(self.x, self.lists, self.medoid, q[k], k if own else None)
+            got = np.arange(len(self.x)) if exact else search(self.x, self.near, self.medoid, q[k], k if own else None)
             if len(got):
                 hit[k, got] = np.einsum("ij,j->i", self.x[got], q[k]) >= SIMILAR
         return hit
 
 
+def smallest_reached(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each node the smallest that links between places a and b reach."""
+    order = np.argsort(nodes)
+    label = np.empty(len(nodes), np.int64)
+    label[order] = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        # the roots of what just met are joined as well
+        top = label[order]
+        np.minimum.at(top, label[a], least)
+        np.minimum.at(top, label[b], least)
+        new = np.minimum(new, top[new])
+        if (new == label).all():
+            return nodes[order][label]
+        label = new
+
+
 def _links(table: pa.Table, exact: bool) -> pa.Table:
     """The links within a part, or between two parts of a shard: a row per linked class."""
     shard = table["_shard"][0].as_py()
@@ -237,21 +280,10 @@ def _links(table: pa.Table, exact: bool) -> pa.Table:
         hit = a.found(b.x, False, exact).T | b.found(a.x, False, exact)
     nodes = a.nodes if a is b else np.concatenate([a.nodes, b.nodes])
     shift = 0 if a is b else len(a.nodes)
-    root = list(range(len(nodes)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
+    roots = smallest_reached(nodes, *(np.nonzero(hit)[0], np.nonzero(hit)[1] + shift))
     counts, classes = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
     for k in range(len(hit)):
         to = np.flatnonzero(hit[k])
-        for t in to.tolist():
-            p, q = find(k), find(t + shift)
-            if p != q:
-                root[max(p, q, key=nodes.__getitem__)] = min(p, q, key=nodes.__getitem__)
         if len(to):
             # of the shards that both are in, the least counts the pair
             common = (b.shards[to][:, :, None] == a.shards[k][None, None, :]).any(axis=2)
@@ -260,7 +292,6 @@ def _links(table: pa.Table, exact: bool) -> pa.Table:
             classes[k] += len(to)
             counts[to + shift] += a.weight[k]
             classes[to + shift] += 1
-    roots = nodes[[find(k) for k in range(len(nodes))]]
     some = (roots != nodes) | (counts > 0)
     return pa.table([nodes[some], roots[some], counts[some], classes[some]], schema=LINKED)
 
