@@ -255,11 +255,15 @@ def _groups(classes: DataFrame, buckets: DataFrame, maybe: DataFrame, n_classes:
 
 def _texts_of(texts: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """_class, _text: a text of each class. Only rows with a class's own smallest id move, combined before they do."""
-    own = F.xxhash64("_class", "_id")
-    filter_, bits = key_filter(classes.select("_class", F.col("_rep").alias("_id")), own, classes.count())
-    filter_ = scratch.save(filter_, "filter")
-    keyed = texts.select("_id", "_text", class_hash(F.col("_text")).alias("_class")).filter("_class is not null")
-    return with_membership(keyed, own, filter_, bits, "_maybe").filter("_maybe").groupBy("_class").agg(F.first("_text").alias("_text"))
+    # First by id alone, so that few texts are hashed; then by id and class.
+    named = scratch.save(classes.select("_class", F.col("_rep").alias("_id")), "named")
+    n, by_id, own = named.count(), F.xxhash64("_id"), F.xxhash64("_class", "_id")
+    first, bits = key_filter(named, by_id, n)
+    rows = with_membership(texts, by_id, scratch.save(first, "filter"), bits, "_maybe").filter("_maybe").drop("_maybe")
+    keyed = rows.withColumn("_class", class_hash(F.col("_text"))).filter("_class is not null")
+    second, bits = key_filter(named, own, n)
+    rows = with_membership(keyed, own, scratch.save(second, "filter"), bits, "_maybe").filter("_maybe")
+    return rows.groupBy("_class").agg(F.first("_text").alias("_text"))
 
 
 def _decide(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
