@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -83,13 +83,31 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Tables of both models over the vocabulary of the sample; word 0 is any other, word 1 the text's start."""
+    """Tables of both models over the vocabulary of the sample; word 0 is any other, word 1 the text's start.
 
-    def __init__(self, vocabulary: dict[str, int], uni: np.ndarray, keys: np.ndarray, seen: np.ndarray, rest: np.ndarray) -> None:
-        self.vocabulary, self.uni, self.keys, self.seen, self.rest = vocabulary, uni, keys, seen, rest
+    Pairs stand as counts of the least width that holds them, discounted when looked up: every worker has a copy.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], uni: np.ndarray, keys: np.ndarray, times: np.ndarray, mass: np.ndarray) -> None:
+        self.vocabulary, self.uni, self.keys, self.times, self.mass = vocabulary, uni, keys, times, mass
+        rest = np.ones_like(uni)
+        for start in range(0, len(keys), SLICE):
+            v = keys[start : start + SLICE] // uni.shape[1]
+            for k in (0, 1):
+                rest[k] -= np.bincount(v, self.share(k, slice(start, start + SLICE), v), uni.shape[1])
+        self.rest = np.maximum(rest, 1e-6)
         self.ratio = np.log(uni[1] / uni[0])
         self.weights, self.mean, self.scale = np.zeros(5), np.zeros(4), np.ones(4)
 
+    def share(self, k: int, at: np.ndarray | slice, v: np.ndarray) -> np.ndarray:
+        """Discounted shares of the pairs at these places among the pairs of class k that begin with v."""
+        return np.maximum(self.times[k][at] - DISCOUNT, 0) / self.mass[k][v]
+
+    @property
+    def seen(self) -> list[np.ndarray]:
+        """The shares of all pairs in either class."""
+        return [self.share(k, slice(None), self.keys // len(self.ratio)) for k in (0, 1)]
+
     def features(self, text: str | None) -> list[float]:
         words = tokens((text or "").lower())
         n = len(words)
@@ -102,7 +120,7 @@ class Model:
         key = v * len(self.ratio) + w
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         known = self.keys[at] == key
-        p = [np.where(known, self.seen[c][at], 0.0) + self.rest[c][v] * self.uni[c][w] for c in (0, 1)]
+        p = [np.where(known, self.share(c, at, v), 0.0) + self.rest[c][v] * self.uni[c][w] for c in (0, 1)]
         both, single = np.clip(np.log(p[1] / p[0]), -2, 8), self.ratio[w]
         sums = np.concatenate([[0.0], np.cumsum(np.clip(single, -1, 9))])
         window = (sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW if n >= WINDOW else sums[-1] / n
@@ -160,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
     corpus = scratch.save(corpus_counts(texts), "corpus-words")
     whole = corpus.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).first()
     words = scratch.save(words.join(corpus, "w").withColumn("_word", F.monotonically_increasing_id()), "words")
-    place, counted, names = _columns(words, ["_word"], ["n0", "n1", "n"], "w")
+    place, counted, names = _words_of(words)
     vocabulary = {w: k + 2 for k, w in enumerate(names.to_pylist())}
     del names
     size = len(vocabulary) + 2
@@ -168,7 +186,6 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
     counts[:, 2:] = counted[:2]
     shared = np.zeros(size)
     shared[2:] = counted[2]
-    place = place[0]
     backoff = (shared + 0.5) / (whole.n + 0.5 * (whole.kinds + 1))
     total = np.array([totals.t0, totals.t1], float)
     kinds = np.array([types[0], types[1]], float)
@@ -181,23 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
     at = numbers(contexts["_before"].to_numpy())
     mass[0, at], mass[1, at] = np.maximum(contexts["m0"].to_numpy(), 1), np.maximum(contexts["m1"].to_numpy(), 1)
     pairs = scratch.save(grams.join(words.select("w", "_word"), "w").join(after, "v").select("_before", "_word", F.col("c0").cast("int"), F.col("c1").cast("int")), "pairs")
-    ends, times, _ = _columns(pairs, ["_before", "_word"], ["c0", "c1"])
-    keys = numbers(ends[0]) * size + numbers(ends[1])
-    del ends
-    order = np.argsort(keys)
-    keys, times = keys[order], times[:, order]
-    del order
-    v = keys // size
-    seen, rest = np.empty((2, len(keys))), np.ones((2, size))
-    for k in (0, 1):
-        np.subtract(times[k], DISCOUNT, out=seen[k])
-        np.maximum(seen[k], 0, out=seen[k])
-        seen[k] /= mass[k][v]
-        rest[k] -= np.bincount(v, seen[k], size)
-    del times, v
-    if not len(keys):
-        keys, seen = np.array([-1]), np.zeros((2, 1))
-    model = Model(vocabulary, uni, keys, seen, np.maximum(rest, 1e-6))
+    keys, times = _pairs(pairs, numbers, size)
+    model = Model(vocabulary, uni, keys, times, mass)
+    del keys, times
     fit = _sample(known, texts, f"not ({learn})", MAX_FIT)
     shared_model = fit.sparkSession.sparkContext.broadcast(model)
 
@@ -216,31 +219,42 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
     return model
 
 
-def _columns(table: DataFrame, keys: list[str], counts: list[str], text: str | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
-    """Columns of a saved table: the keys, the counts, and the text; with a text in order of the first key.
-
-    They come in slices of about SLICE rows, so that neither the driver's JVM nor Python holds the whole table twice.
-    """
+def _slices(table: DataFrame, keys: list[str], columns: list[str]) -> Iterator[pa.Table]:
+    """Rows of a saved table in slices of about SLICE, so that neither the driver's JVM nor Python holds the whole twice."""
     slices = max(1, -(-table.count() // SLICE))
     part = F.pmod(F.xxhash64(*keys), F.lit(slices))
-    ids: list[list[np.ndarray]] = [[] for _ in keys]
-    numbers: list[list[np.ndarray]] = [[] for _ in counts]
-    texts: list[pa.Array] = []
     for k in range(slices):
-        got = table.filter(part == k).select(*keys, *counts, *([text] if text else [])).toArrow()
-        for own, c in zip(ids, keys):
-            own.append(got[c].to_numpy())
-        for own, c in zip(numbers, counts):
-            own.append(got[c].to_numpy())
-        if text:
-            texts += got[text].chunks
-        del got
+        yield table.filter(part == k).select(*columns).toArrow()
         pa.default_memory_pool().release_unused()
-    whole, sums = np.array([np.concatenate(own) for own in ids]), np.array([np.concatenate(own) for own in numbers])
-    if not text:
-        return whole, sums, None
-    order = np.argsort(whole[0])
-    return whole[:, order], sums[:, order], pa.chunked_array(texts, pa.string()).combine_chunks().take(pa.array(order))
+
+
+def _words_of(words: DataFrame) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words' places in ascending order, with their counts n0, n1 and n, and themselves."""
+    places, counts, texts = [], [], []
+    for got in _slices(words, ["_word"], ["_word", "n0", "n1", "n", "w"]):
+        places.append(got["_word"].to_numpy())
+        counts.append(np.array([got[c].to_numpy() for c in ("n0", "n1", "n")]))
+        texts += got["w"].chunks
+        del got
+    place = np.concatenate(places)
+    order = np.argsort(place)
+    return place[order], np.concatenate(counts, axis=1)[:, order], pa.chunked_array(texts, pa.string()).combine_chunks().take(pa.array(order))
+
+
+def _pairs(pairs: DataFrame, numbers: Callable[[np.ndarray], np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pairs in ascending order and their counts in both classes, in the least type that holds them."""
+    keys, times = [np.empty(0, np.int64)], [np.empty((2, 0), np.uint8)]
+    for got in _slices(pairs, ["_before", "_word"], ["_before", "_word", "c0", "c1"]):
+        keys.append(numbers(got["_before"].to_numpy()) * size + numbers(got["_word"].to_numpy()))
+        counted = np.array([got[c].to_numpy() for c in ("c0", "c1")])
+        times.append(counted.astype(np.min_scalar_type(counted.max(initial=0))))
+        del got, counted
+    if len(keys) == 1:
+        return np.zeros(1, np.int64), np.zeros((2, 1), np.uint8)
+    key, time = np.concatenate(keys), np.concatenate(times, axis=1)
+    del keys, times
+    order = np.argsort(key)
+    return key[order], time[:, order]
 
 
 def has_words(k: int) -> F.Column:
