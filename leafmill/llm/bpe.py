@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from ._spark import small_batches, tidy
 
 #: Words and space-separated chunks kept by a worker, and characters and words laid out at once.
-CACHE_WORDS, CACHE_CHUNKS, BATCH_CHARS, BATCH_WORDS = 150_000, 200_000, 2_000_000, 40_000
+CACHE_WORDS, CACHE_CHUNKS, BATCH_CHARS, BATCH_WORDS = 100_000, 150_000, 1_000_000, 20_000
 #: str.split takes these for white space, the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]").search
 
