@@ -45,6 +45,8 @@ DISCOUNT, THRESHOLD, WINDOW, CLEAR = 0.75, 0.3, 10, 2.5
 HELD_OUT, FIT = 2, 3
 #: Rows of the models' tables that come to the driver at once.
 SLICE = 200_000
+#: Words of texts that are scored at once.
+BUNCH = 50_000
 #: Distinct expressions a task holds before it hands them on.
 FLUSH = 100_000
 
@@ -108,26 +110,48 @@ class Model:
         """The shares of all pairs in either class."""
         return [self.share(k, slice(None), self.keys // len(self.ratio)) for k in (0, 1)]
 
-    def features(self, text: str | None) -> list[float]:
-        words = tokens((text or "").lower())
-        n = len(words)
-        if not n:
-            return [0.0] * 4
-        ids = np.empty(n + 1, np.int64)
-        ids[0] = 1
-        ids[1:] = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, n)
-        v, w = ids[:-1], ids[1:]
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """A row of four numbers for each text. Texts are taken in bunches of BUNCH words or one text, whose pairs are
+        looked up in sorted order: neighbours lie near in the table."""
+        out, bunch, held = np.zeros((len(texts), 4)), [], 0
+        for k, text in enumerate(texts):
+            words = tokens((text or "").lower())
+            if not words:
+                continue
+            ids = np.empty(len(words) + 1, np.int64)
+            ids[0] = 1
+            ids[1:] = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
+            bunch.append((k, ids))
+            held += len(words)
+            if held >= BUNCH:
+                self._compare(bunch, out)
+                bunch, held = [], 0
+        if bunch:
+            self._compare(bunch, out)
+        return out
+
+    def _compare(self, bunch: list[tuple[int, np.ndarray]], out: np.ndarray) -> None:
+        v = np.concatenate([ids[:-1] for _, ids in bunch])
+        w = np.concatenate([ids[1:] for _, ids in bunch])
         key = v * len(self.ratio) + w
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        order = np.argsort(key)
+        at = np.empty(len(key), np.int64)
+        at[order] = np.searchsorted(self.keys, key[order])
+        np.minimum(at, len(self.keys) - 1, out=at)
         known = self.keys[at] == key
         p = [np.where(known, self.share(c, at, v), 0.0) + self.rest[c][v] * self.uni[c][w] for c in (0, 1)]
-        both, single = np.clip(np.log(p[1] / p[0]), -2, 8), self.ratio[w]
-        sums = np.concatenate([[0.0], np.cumsum(np.clip(single, -1, 9))])
-        window = (sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW if n >= WINDOW else sums[-1] / n
-        return [float(both.mean()), float(window), float((single > CLEAR).mean() * 10), float(np.log1p(n))]
+        every, ratios = np.clip(np.log(p[1] / p[0]), -2, 8), self.ratio[w]
+        start = 0
+        for k, ids in bunch:
+            n = len(ids) - 1
+            both, single = every[start : start + n], ratios[start : start + n]
+            start += n
+            sums = np.concatenate([[0.0], np.cumsum(np.clip(single, -1, 9))])
+            window = (sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW if n >= WINDOW else sums[-1] / n
+            out[k] = both.mean(), window, (single > CLEAR).mean() * 10, np.log1p(n)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts]).reshape(-1, 4)
+        x = self.features(texts)
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + ((x - self.mean) / self.scale) @ self.weights[1:], -30, 30)))
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
@@ -207,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared_model.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([m.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(m.features(b.column(0).to_pylist()).tolist(), pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
         tidy()
 
     rows = fit.select("_text", "toxic").mapInArrow(features, "x array<double>, toxic int").toPandas().sort_values(["toxic", "x"], key=lambda s: s.map(str)).reset_index(drop=True)
