@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from ._spark import small_batches, tidy
 
 #: Words and space-separated chunks kept by a worker, and characters and words laid out at once.
-CACHE_WORDS, CACHE_CHUNKS, BATCH_CHARS, BATCH_WORDS = 100_000, 150_000, 1_000_000, 20_000
+CACHE_WORDS, CACHE_CHUNKS, BATCH_CHARS, BATCH_WORDS = 200_000, 250_000, 1_000_000, 4_000
 #: str.split takes these for white space, the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]").search
 
@@ -77,6 +77,35 @@ def refuse_unsupported(spec: dict) -> None:
         raise ValueError(f"this tokenizer file's {', '.join(wrong)} isn't supported")
 
 
+class Recent:
+    """Values of the keys met last, ``most`` or those of one batch, in two dicts. When the younger is half full it becomes
+    the older; keys met again move on, so frequent ones stay whatever the number of rare ones."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def __len__(self) -> int:
+        return len(self.young) + len(self.old)
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys without a value; those of all others are in ``young`` afterwards."""
+        out = keys - self.young.keys()
+        again = out & self.old.keys()
+        moved = {k: self.old[k] for k in again}
+        if len(self.young) + len(out) > self.most // 2:
+            moved.update((k, self.young[k]) for k in keys - out)
+            self.old, self.young = self.young, moved
+        else:
+            self.young |= moved
+        out -= again
+        if len(self) + len(out) > self.most:
+            self.old = {}
+        return out
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
+
 class Bpe:
     """A byte-level BPE tokenizer with word ends, read from a tokenizer file's content."""
 
@@ -104,8 +133,7 @@ class Bpe:
         # of special tokens that begin alike the longest is taken
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
-        self.cache: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.cache, self.chunks = Recent(CACHE_WORDS), Recent(CACHE_CHUNKS)
 
     def holds_special(self, text: str) -> bool:
         return any(t in text for t in self.special)
@@ -192,24 +220,19 @@ class Bpe:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. No word spans white space, so texts are cut at it and each distinct chunk is encoded once."""
         split = [[t] if SEPARATORS(t) or self.holds_special(t) else t.split() for t in texts]
-        new = set().union(*split) - self.chunks.keys()
-        if len(self.chunks) + len(new) > CACHE_CHUNKS:
-            self.chunks.clear()
-            new = set().union(*split)
-        self.chunks.update(self._encode_chunks(list(new)))
-        get = self.chunks.__getitem__
+        new = self.chunks.missing(set().union(*split))
+        self.chunks.young.update(self._encode_chunks(list(new)))
+        get = self.chunks.young.__getitem__
         out = [b"".join(map(get, c)) for c in split]
         for c in split:
             if len(c) == 1 and len(c[0]) > 1000:
-                self.chunks.pop(c[0], None)
+                self.chunks.young.pop(c[0], None)
         return out
 
     def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        cache, split = self.cache, [self.words(c) for c in chunks]
-        new = set().union(*split) - cache.keys()
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = set().union(*split)
+        split = [self.words(c) for c in chunks]
+        new = self.cache.missing(set().union(*split))
+        cache = self.cache.young
         plain = []
         for w in new:
             if w[0] == "\0" and w[1:] in self.special:
