@@ -34,10 +34,11 @@ def chunk(title: str | None, content: str | None, size: int = CHUNK, most: int |
     return out or ([title[:size]] if title else [])
 
 
-def chunk_rows(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = None, content_col: str = "text", size: int = CHUNK, most: int | None = None) -> DataFrame:
-    """One row per chunk: the document's id, idx, content."""
+def chunk_rows(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = None, content_col: str = "text", size: int = CHUNK, most: int | None = None, with_title: bool = False) -> DataFrame:
+    """One row per chunk: the document's id, idx, content, and with ``with_title`` the document's title as _title."""
     title = F.lit("") if title_col is None else F.col(title_col)
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["_id", "idx", "content", *(["_title"] if with_title else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,9 +51,10 @@ def chunk_rows(docs: DataFrame, id_col: str = "doc_id", title_col: str | None =
                         idx.append(i)
                         texts.append(piece)
                 ids = part.column(0).take(pa.array(places, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(idx, pa.int32()), pa.array(texts, pa.string())], names=["_id", "idx", "content"])
+                titles = [part.column(1).take(pa.array(places, pa.int64()))] if with_title else []
+                yield pa.RecordBatch.from_arrays([ids, pa.array(idx, pa.int32()), pa.array(texts, pa.string()), *titles], names=names)
 
-    out = docs.select(F.col(id_col).alias("_id"), title.alias("_t"), F.col(content_col).alias("_c")).mapInArrow(run, f"_id {kind}, idx int, content string")
+    out = docs.select(F.col(id_col).alias("_id"), title.alias("_t"), F.col(content_col).alias("_c")).mapInArrow(run, f"_id {kind}, idx int, content string" + (", _title string" if with_title else ""))
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -14,6 +14,7 @@ from ..operators import conversation as conv
 from ..operators import search as se
 from ..operators import store as st
 from ..operators import timeline as tl
+from ..session import exists, work_path
 from ..sources import html
 from .text_queries import read
 
@@ -42,6 +43,24 @@ def whole_chunks(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", F.lit(0).alias("idx"), F.col("source").alias("title"), F.concat(F.lit("https://"), "source", F.lit(".example/"), "lang").alias("url"), F.col("text").alias("content"))
 
 
+def kept_index(spark, sf_dir, name: str, chunks_of, key: list[str]) -> tuple[DataFrame, se.Index]:
+    """The chunks that ``chunks_of`` makes of the documents, and their index. Both are written once for this state of the
+    table's files and read by every later search, also of other sessions that share the folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/documents.parquet")
+    state = files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()  # contents aren't read
+    path = work_path(spark, f"index-{name}", "-".join(f"{(x or 0) & (2**64 - 1):x}" for x in state))
+    if exists(spark, f"{path}/fields/_SUCCESS"):
+        return spark.read.parquet(f"{path}/chunks"), se.open_index(spark, path)
+    chunks_of(spark, sf_dir).write.mode("overwrite").parquet(f"{path}/chunks")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    return chunks, se.build_index(chunks, key, path)
+
+
+def lexical(spark, sf_dir, tolerance: int = 0) -> DataFrame:
+    """Scores of documents as whole chunks, by the kept index."""
+    return se.search_index(kept_index(spark, sf_dir, "whole", whole_chunks, ["doc_id"])[1], QUERY, tolerance)
+
+
 def page_store(spark, sf_dir) -> DataFrame:
     """A document store made of the pages: times stand in by page_id."""
     p = read(spark, sf_dir, "pages")
@@ -141,17 +160,17 @@ TERMS = "['thing', 'nation', 'ention']"
 
 @query(f"WITH {_bm25_sql(TERMS, 0)} SELECT doc_id, round(score, 6) AS score FROM s")
 def lexical_bm25(spark, sf_dir):
-    return se.bm25(whole_chunks(spark, sf_dir), QUERY, ["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
+    return lexical(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_bm25_sql(TERMS, 1)} SELECT doc_id, round(score, 6) AS score FROM s")
 def lexical_tolerance1(spark, sf_dir):
-    return se.bm25(whole_chunks(spark, sf_dir), QUERY, ["doc_id"], tolerance=1).select("doc_id", F.round("score", 6).alias("score"))
+    return lexical(spark, sf_dir, 1).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_bm25_sql(TERMS, 1)} SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM s ORDER BY round(score, 9) DESC, doc_id LIMIT 100)")
 def lexical_top100(spark, sf_dir):
-    return se.top_hits(se.bm25(whole_chunks(spark, sf_dir), QUERY, ["doc_id"], tolerance=1), ["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
+    return se.top_hits(lexical(spark, sf_dir, 1), ["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 DOT = "list_sum(list_transform(list_zip(embedding, q.v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
@@ -176,9 +195,8 @@ h AS (SELECT coalesce(s.doc_id, e.doc_id) AS doc_id, 0.5::DOUBLE * coalesce(s.sc
 
 
 def hybrid(spark, sf_dir) -> DataFrame:
-    lexical = se.bm25(whole_chunks(spark, sf_dir), QUERY, ["doc_id"])
     vectors = read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return se.hybrid_scores(lexical, se.vector_scores(vectors, query_vector(spark, sf_dir), ["doc_id"], "embedding"), ["doc_id"])
+    return se.hybrid_scores(lexical(spark, sf_dir), se.vector_scores(vectors, query_vector(spark, sf_dir), ["doc_id"], "embedding"), ["doc_id"])
 
 
 @query(f"WITH {HYBRID} SELECT doc_id, round(score, 6) AS score FROM h")
@@ -189,18 +207,22 @@ def hybrid_search(spark, sf_dir):
 
 @query(f"WITH {HYBRID} SELECT doc_id, round(score, 6) AS score FROM h WHERE semantic_only")
 def semantic_only(spark, sf_dir):
-    lexical = se.bm25(whole_chunks(spark, sf_dir), QUERY, ["doc_id"])
-    return hybrid(spark, sf_dir).join(lexical.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.round("score", 6).alias("score"))
+    return hybrid(spark, sf_dir).join(lexical(spark, sf_dir).select("doc_id"), "doc_id", "left_anti").select("doc_id", F.round("score", 6).alias("score"))
+
+
+def library_chunks(spark, sf_dir) -> DataFrame:
+    """Chunks of all documents with their title."""
+    titled = ch.chunk_rows(read(spark, sf_dir, "documents"), title_col="source", with_title=True)
+    return titled.withColumnRenamed("_title", "title")
 
 
 @query()
 def search_library(spark, sf_dir):
-    """Chunks, BM25 with tolerance, top hundred chunks, best chunk per document, reason and snippet."""
-    docs = read(spark, sf_dir, "documents")
-    parts = ch.chunk_rows(docs, title_col="source").join(docs.select("doc_id", F.col("source").alias("title")), "doc_id")
-    hits = se.top_hits(se.bm25(parts, QUERY, ["doc_id", "idx"], tolerance=1), ["doc_id", "idx"])
-    best = se.best_per_document(hits)
-    shown = best.join(parts, ["doc_id", "idx"])
+    """BM25 with tolerance over the kept index of chunks, top hundred chunks, best chunk per document, reason and snippet."""
+    parts, index = kept_index(spark, sf_dir, "library", library_chunks, ["doc_id", "idx"])
+    hits = se.top_hits(se.search_index(index, QUERY, 1), ["doc_id", "idx"])
+    best = F.broadcast(se.best_per_document(hits))  # a hundred rows at most
+    shown = parts.join(best, ["doc_id", "idx"])
     terms = tx.query_terms(F.lit(QUERY))
     reason = se.match_reason(F.lit(False), F.col("title"), F.lit(""), F.col("content"), terms)
     return shown.select("doc_id", "idx", F.round("score", 6).alias("score"), reason.alias("reason"), tx.snippet(F.col("content"), F.col("title"), terms).alias("snippet"))

@@ -22,8 +22,8 @@ def local_session(name: str = "leafmill", cores: str = "*", partitions: int = 8)
     )
 
 
-def work_path(spark: SparkSession, tag: str) -> str:
-    """A new path in spark.checkpoint.dir; in a local session without it, in a temporary folder."""
+def work_path(spark: SparkSession, tag: str, mark: str | None = None) -> str:
+    """A new path in spark.checkpoint.dir, or the one of this mark; in a local session without it, in a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -32,7 +32,12 @@ def work_path(spark: SparkSession, tag: str) -> str:
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="leafmill-")
         base = "file://" + _own[app]
-    return f"{base.rstrip('/')}/leafmill-{tag}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/leafmill-{tag}-{mark or uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
 
 
 @atexit.register
