@@ -87,7 +87,7 @@ def detections(spark, sf_dir):
     return d.select("item", *(F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")), F.col("label").isin(*la.VISUAL).alias("is_visual"))
 
 
-@query(f"WITH {TOKENS}, {BOXES} SELECT token FROM t WHERE doc_id < 10 AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = t.doc_id AND b.page = t.page AND cls IN (2, 6, 8) AND {INSIDE.format(a='t', b='b')} >= 0.35)")
+@query(f"WITH {TOKENS}, {BOXES} SELECT token FROM t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = t.doc_id AND b.page = t.page AND cls IN (2, 6, 8) AND {INSIDE.format(a='t', b='b')} >= 0.35)")
 def tokens_outside_visuals(spark, sf_dir):
     v = boxes(spark, sf_dir).filter("cls in (2, 6, 8)")
     return la.exclude(tokens(spark, sf_dir), v).select("token")
