@@ -361,13 +361,14 @@ def outer_spans(spark, sf_dir):
 
 
 @query("""
-WITH h AS (SELECT doc_id % 50 AS d, doc_id % 4 AS p, n_chars % 97 AS s, n_chars % 97 + 1 + doc_id % 7 AS e FROM documents WHERE doc_id % 3 = 0),
-q AS (SELECT DISTINCT doc_id % 50 AS d, doc_id % 4 AS p, n_chars % 89 AS s, n_chars % 89 + 1 + doc_id % 5 AS e FROM documents WHERE doc_id % 3 = 1)
+WITH h AS (SELECT doc_id // 40 AS d, doc_id // 2 % 2 AS p, n_chars % 97 AS s, n_chars % 97 + 1 + doc_id % 7 AS e FROM documents WHERE doc_id % 2 = 0),
+q AS (SELECT DISTINCT doc_id // 40 AS d, doc_id // 2 % 2 AS p, n_chars % 89 AS s, n_chars % 89 + 1 + doc_id % 5 AS e FROM documents WHERE doc_id % 2 = 1)
 SELECT q.d AS doc_id, q.p AS passage_index, q.s AS "start", q.e AS "end", CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.d = q.d AND h.p = q.p AND q.s < h.e AND q.e > h.s) THEN 'delete' ELSE 'add' END AS action FROM q
 """)
 def highlight_overlaps(spark, sf_dir):
+    """Documents stand in for highlights, the odd ones for new ones; forty make a document of two passages."""
     d = read(spark, sf_dir, "documents")
-    span = lambda k, m, n: d.filter(f"doc_id % 3 = {k}").selectExpr("doc_id % 50 AS doc_id", "doc_id % 4 AS passage_index", f"n_chars % {m} AS start", f"n_chars % {m} + 1 + doc_id % {n} AS end")
+    span = lambda k, m, n: d.filter(f"doc_id % 2 = {k}").selectExpr("doc_id DIV 40 AS doc_id", "doc_id DIV 2 % 2 AS passage_index", f"n_chars % {m} AS start", f"n_chars % {m} + 1 + doc_id % {n} AS end")
     return st.free_highlights(span(0, 97, 7), span(1, 89, 5).distinct())
 
 

@@ -45,14 +45,14 @@ TOKENS = """t AS (SELECT l_orderkey // 100 AS doc_id, CAST(l_linenumber AS INTEG
 
 
 def boxes(spark, sf_dir) -> DataFrame:
-    """Parts as detections on the pages of documents 0 to 9."""
+    """Parts as detections, ten on each page of seventy of a document."""
     return read(spark, sf_dir, "part").selectExpr(
-        "p_partkey % 10 AS doc_id", "CAST(p_partkey % 7 + 1 AS INT) AS page", "CAST(p_partkey AS INT) AS item", "CAST(p_size % 11 AS INT) AS cls", "CAST((p_partkey * 37 % 100) / 100 AS DOUBLE) AS score",
+        "p_partkey DIV 70 AS doc_id", "CAST(p_partkey % 7 + 1 AS INT) AS page", "CAST(p_partkey AS INT) AS item", "CAST(p_size % 11 AS INT) AS cls", "CAST((p_partkey * 37 % 100) / 100 AS DOUBLE) AS score",
         "CAST(p_partkey * 53 % 480 AS DOUBLE) AS x1", "CAST(p_partkey * 31 % 650 AS DOUBLE) AS y1", "CAST(p_partkey * 53 % 480 + 10 + p_size AS DOUBLE) AS x2", "CAST(p_partkey * 31 % 650 + 5 + p_size % 9 AS DOUBLE) AS y2",
     )
 
 
-BOXES = """b AS (SELECT p_partkey % 10 AS doc_id, CAST(p_partkey % 7 + 1 AS INTEGER) AS page, CAST(p_partkey AS INTEGER) AS item, CAST(p_size % 11 AS INTEGER) AS cls, (p_partkey * 37 % 100) / 100.0::DOUBLE AS score,
+BOXES = """b AS (SELECT p_partkey // 70 AS doc_id, CAST(p_partkey % 7 + 1 AS INTEGER) AS page, CAST(p_partkey AS INTEGER) AS item, CAST(p_size % 11 AS INTEGER) AS cls, (p_partkey * 37 % 100) / 100.0::DOUBLE AS score,
   (p_partkey * 53 % 480)::DOUBLE AS x1, (p_partkey * 31 % 650)::DOUBLE AS y1, (p_partkey * 53 % 480 + 10 + p_size)::DOUBLE AS x2, (p_partkey * 31 % 650 + 5 + p_size % 9)::DOUBLE AS y2 FROM part)"""
 INSIDE = "greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1)) / greatest(1, ({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1))"
 
@@ -116,8 +116,8 @@ def page_rows(spark, sf_dir):
 
 
 @query(f"""
-WITH {BOXES}, r AS (SELECT doc_id, page, 1 AS "table", row_number() OVER (PARTITION BY doc_id, page ORDER BY item) AS "row", y1, y2 FROM b WHERE item <= 140),
-c AS (SELECT doc_id, page, 1 AS "table", row_number() OVER (PARTITION BY doc_id, page ORDER BY item) AS "column", x1, x2 FROM b WHERE item <= 210),
+WITH {BOXES}, r AS (SELECT doc_id, page, 1 AS "table", row_number() OVER (PARTITION BY doc_id, page ORDER BY item) AS "row", y1, y2 FROM b),
+c AS (SELECT doc_id, page, 1 AS "table", row_number() OVER (PARTITION BY doc_id, page ORDER BY item) AS "column", x1, x2 FROM b),
 g AS (SELECT r.doc_id, r.page, r."row", c."column", x1, y1, x2, y2 FROM r JOIN c ON r.doc_id = c.doc_id AND r.page = c.page),
 k AS (SELECT doc_id, page, CAST(item AS VARCHAR) AS text, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, x1, y1 FROM b)
 SELECT g.doc_id, g.page, "row", "column", coalesce(array_to_string(list(k.text ORDER BY k.x1, k.y1, k.text), ' '), '') AS text
@@ -128,8 +128,8 @@ def table_cells(spark, sf_dir):
 
     b = boxes(spark, sf_dir)
     n = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("item"))
-    r = b.filter("item <= 140").select("doc_id", "page", F.lit(1).alias("table"), n.alias("row"), "y1", "y2")
-    c = b.filter("item <= 210").select("doc_id", "page", F.lit(1).alias("table"), n.alias("column"), "x1", "x2")
+    r = b.select("doc_id", "page", F.lit(1).alias("table"), n.alias("row"), "y1", "y2")
+    c = b.select("doc_id", "page", F.lit(1).alias("table"), n.alias("column"), "x1", "x2")
     t = b.withColumn("text", F.col("item").cast("string"))
     return la.reconstruct_table(la.grid(r, c), t).select("doc_id", "page", "row", "column", F.coalesce("text", F.lit("")).alias("text"))
 
