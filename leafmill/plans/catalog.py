@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import article_queries, corpus_queries, layout_queries, text_queries, view_queries
+from . import article_queries, corpus_queries, layout_queries, page_queries, text_queries, view_queries
 
-MODULES = (text_queries, corpus_queries, layout_queries, article_queries, view_queries)
+MODULES = (text_queries, corpus_queries, layout_queries, article_queries, view_queries, page_queries)
 
 
 def queries() -> dict:
