@@ -81,16 +81,29 @@ def drop_cap(tokens: list[dict], label: str) -> dict | None:
     return first if len(lines) >= 2 else None
 
 
-def inline_formula(formula: dict, tokens: list[dict], font: float) -> bool:
-    """A small formula box around a radical with words on both sides of its line: part of the text, no visual."""
+def inline_formula(formula: dict, tokens: list[dict]) -> bool:
+    """Whether a formula box is a radical within a line of text, and so no visual: narrow for the radical's font, and among
+    the tokens next to the radical (two items away at most, about its baseline) one stands before it and one goes on behind it.
+
+    Tokens need text, font_size, item_index, baseline_y and their box; the first radical in or partly in the box decides.
+    """
     import re
 
-    inside = [t for t in tokens if contain(t, formula) >= 0.35]
-    if formula["y2"] - formula["y1"] > 2.5 * font or not any(re.search(RADICALS, t["text"]) for t in inside):
+    def touches(t: dict) -> bool:
+        x, y = (t["x1"] + t["x2"]) / 2, (t["y1"] + t["y2"]) / 2
+        inside = formula["x1"] <= x <= formula["x2"] and formula["y1"] <= y <= formula["y2"]
+        return inside or contain(t, formula) >= 0.15
+
+    root = next((t for t in tokens if re.search(RADICALS, t["text"] or "") and touches(t)), None)
+    if formula["label"] != "Formula" or root is None or formula["x2"] - formula["x1"] > 4.5 * root["font_size"]:
         return False
-    middle = (formula["y1"] + formula["y2"]) / 2
-    line = [t for t in tokens if t not in inside and t["y1"] <= middle <= t["y2"]]
-    return any(t["x2"] <= formula["x1"] + font for t in line) and any(t["x1"] >= formula["x2"] - font for t in line)
+    before = after = False
+    for t in tokens:
+        step = t["item_index"] - root["item_index"]
+        if 0 < abs(step) <= 2 and abs(t["baseline_y"] - root["baseline_y"]) <= 1.2 * root["font_size"]:
+            before |= step < 0 and t["x1"] <= root["x1"]
+            after |= step > 0 and t["x2"] >= root["x2"]
+    return before and after
 
 
 def font_shift(texts: list[str]) -> int:
