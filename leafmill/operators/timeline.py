@@ -45,7 +45,9 @@ def as_of(clock: DataFrame, timeline: DataFrame, key: str, time: str, value: Col
     return out.select("_row.*", F.col("_found.v").alias("matched"))
 
 
-def keep_outer(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Spans that begin at or after the end of every earlier span of their key, rejected ones included; longer first."""
-    w = Window.partitionBy(key).orderBy(start, F.col(end).desc()).rowsBetween(Window.unboundedPreceding, -1)
+def keep_outer(rows: DataFrame, key: str, start: str, end: str, *order: str) -> DataFrame:
+    """Spans that begin at or after the end of every earlier span of their key, rejected ones included; longer first,
+    of equal spans the first by the columns of ``order``. Spans without a start come last."""
+    last = [F.col(c).asc_nulls_last() for c in order]
+    w = Window.partitionBy(key).orderBy(F.col(start).asc_nulls_last(), F.col(end).desc_nulls_last(), *last).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("_m", F.max(end).over(w)).filter(F.col("_m").isNull() | (F.col(start) >= F.col("_m"))).drop("_m")

@@ -354,10 +354,11 @@ m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b DESC, event_id R
 SELECT event_id, user_id FROM m WHERE before IS NULL OR a >= before
 """)
 def outer_spans(spark, sf_dir):
+    """Events as spans of their user from the nearest second on (half a second: to the even one); of equal spans the smallest id stays."""
     e = read(spark, sf_dir, "events")
-    start = F.unix_seconds(F.col("ts").cast("timestamp"))
+    start = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("bigint")
     s = e.select("event_id", "user_id", start.alias("a"), (start + F.floor(F.abs("value")) * 60 + 1).alias("b"))
-    return tl.keep_outer(s, "user_id", "a", "b").select("event_id", "user_id")
+    return tl.keep_outer(s, "user_id", "a", "b", "event_id").select("event_id", "user_id")
 
 
 @query("""
